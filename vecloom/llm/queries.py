@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from .langid import op2_langid
 from .merkle import op9_merkle
 from .mixing import op8_mixing
+from .quality import op3_quality
 from .rules import op10_rules
 
 QUERIES = {
+    "op2_langid": op2_langid,
+    "op3_quality": op3_quality,
     "op8_mixing": op8_mixing,
     "op9_merkle": op9_merkle,
     "op10_rules": op10_rules,
