@@ -5,12 +5,16 @@ from __future__ import annotations
 from .langid import op2_langid
 from .merkle import op9_merkle
 from .mixing import op8_mixing
+from .pieces import op7_pieces
 from .quality import op3_quality
 from .rules import op10_rules
+from .tokencount import op1_tokens
 
 QUERIES = {
+    "op1_tokens": op1_tokens,
     "op2_langid": op2_langid,
     "op3_quality": op3_quality,
+    "op7_pieces": op7_pieces,
     "op8_mixing": op8_mixing,
     "op9_merkle": op9_merkle,
     "op10_rules": op10_rules,
