@@ -88,6 +88,8 @@ def agenda(sym: np.ndarray, word: np.ndarray, at: np.ndarray, key: np.ndarray, v
             r[live[h < limit]] = NONE
         return r
 
+    if not len(sym):
+        return sym, word
     out_sym, out_word = [], []
     stop = np.append(at[1:], 0)
     last = np.append(word[1:] != word[:-1], True)
