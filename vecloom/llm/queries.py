@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .langid import op2_langid
 from .merkle import op9_merkle
+from .minhash import op4_minhash
 from .mixing import op8_mixing
 from .pieces import op7_pieces
 from .quality import op3_quality
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_tokens": op1_tokens,
     "op2_langid": op2_langid,
     "op3_quality": op3_quality,
+    "op4_minhash": op4_minhash,
     "op7_pieces": op7_pieces,
     "op8_mixing": op8_mixing,
     "op9_merkle": op9_merkle,
