@@ -31,7 +31,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def plan_bytes(df: DataFrame) -> int:
     """Size that the optimizer expects of the plan; no job runs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
 def group_count(df: DataFrame, mb_each: float, least: int = 1) -> int:

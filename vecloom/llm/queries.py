@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .langid import op2_langid
+from .lm import op6_lm
 from .merkle import op9_merkle
 from .minhash import op4_minhash
 from .mixing import op8_mixing
@@ -16,6 +17,7 @@ QUERIES = {
     "op2_langid": op2_langid,
     "op3_quality": op3_quality,
     "op4_minhash": op4_minhash,
+    "op6_lm": op6_lm,
     "op7_pieces": op7_pieces,
     "op8_mixing": op8_mixing,
     "op9_merkle": op9_merkle,
