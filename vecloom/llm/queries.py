@@ -10,6 +10,7 @@ from .mixing import op8_mixing
 from .pieces import op7_pieces
 from .quality import op3_quality
 from .rules import op10_rules
+from .substrings import op5_substrings
 from .tokencount import op1_tokens
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
     "op2_langid": op2_langid,
     "op3_quality": op3_quality,
     "op4_minhash": op4_minhash,
+    "op5_substrings": op5_substrings,
     "op6_lm": op6_lm,
     "op7_pieces": op7_pieces,
     "op8_mixing": op8_mixing,
