@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import checkpointed, crc_mod, group_count, read_documents
-from ._packed import LOW40, grouped, pack40, range_of, split, summed, unpack40
+from ._packed import LOW40, pack40, pack_counts, pack_texts, range_of, split, summed, unpack40, unpack_counts, unpack_texts
 from ._text import K1, K2, U64, Words, chunks, mix, pair_hash, to_bytes
 
 END, BEGIN = U64(0x1F83D9ABFB41BD6B), U64(0x5BE0CD19137E2179)
@@ -115,18 +115,19 @@ def score_documents(docs: DataFrame, held_out, max_filter_mb: int = 256, mb_each
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every whole text."""
     spark = docs.sparkSession
     groups = group_count(docs, mb_each)
-    own = grouped(docs, groups, "doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    own = pack_texts(docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text"), groups, ["doc_id", "held_out"])
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def ask(table: pa.Table) -> pa.Table:
         """What a group says to the ranges: its distinct tokens with training counts, its training bigrams."""
         g = table["g"][0].as_py()
+        table = unpack_texts(table)
         h, counts = tokens(to_bytes(table["text"].combine_chunks()))
         train = np.repeat(~np.array(table["held_out"].to_pylist(), bool), counts)
         two, n = np.unique(bigrams(h, counts)[train], return_counts=True)
         one, inverse = np.unique(h, return_inverse=True)
-        rows = [(r, 0, one[a:b].tobytes(), c[a:b].astype("<u4").tobytes()) for c in [np.bincount(inverse, train, len(one))] for r, a, b in split(one, groups)]
-        rows += [(r, 1, pack40(two[a:b]), n[a:b].astype("<u4").tobytes()) for r, a, b in split(two, groups)]
+        rows = [(r, 0, one[a:b].tobytes(), pack_counts(c[a:b])) for c in [np.bincount(inverse, train, len(one))] for r, a, b in split(one, groups)]
+        rows += [(r, 1, pack40(two[a:b]), pack_counts(n[a:b])) for r, a, b in split(two, groups)]
         r, k, keys, c = zip(*rows, strict=True)
         return pa.table({"r": pa.array(r, pa.int32()), "g": pa.array([g] * len(rows), pa.int32()), "kind": pa.array(k, pa.int8()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(c, pa.binary())})
 
@@ -134,19 +135,18 @@ def score_documents(docs: DataFrame, held_out, max_filter_mb: int = 256, mb_each
         """A range's sums: counts back to each group (0), totals (2), and its bigrams of MIN_COUNT and more (1)."""
         r = table["r"][0].as_py()
         rows = list(zip(table["g"].to_pylist(), table["kind"].to_pylist(), table["keys"].to_pylist(), table["counts"].to_pylist(), strict=True))
-        u4 = lambda raw: np.frombuffer(raw, "<u4")
-        asked = [(g, np.frombuffer(k, "<u8"), u4(c)) for g, kind, k, c in rows if kind == 0]
+        asked = [(g, np.frombuffer(k, "<u8"), unpack_counts(c, len(k) // 8)) for g, kind, k, c in rows if kind == 0]
         out, totals = [], np.zeros(2, np.int64)
         if asked:
             keys, sums = summed(np.concatenate([x[1] for x in asked]), np.concatenate([x[2] for x in asked]))
             totals = np.array([sums.sum(), (sums > 0).sum()], np.int64)
-            out = [(r, g, 0, sums[np.searchsorted(keys, k)].astype("<u8").tobytes(), b"") for g, k, _ in asked]
-        pairs = [(unpack40(k), u4(c)) for _, kind, k, c in rows if kind == 1]
+            out = [(r, g, 0, pack_counts(sums[np.searchsorted(keys, k)]), len(k).to_bytes(8, "little")) for g, k, _ in asked]
+        pairs = [(unpack40(k), unpack_counts(c, len(k) // 5)) for _, kind, k, c in rows if kind == 1]
         keys, sums = summed(np.concatenate([x[0] for x in pairs]), np.concatenate([x[1] for x in pairs])) if pairs else (np.zeros(0, U64), np.zeros(0, np.int64))
         keep = sums >= MIN_COUNT
         keys, sums = keys[keep], sums[keep]
         spread = np.bincount(np.minimum(level(sums, 1), 127), minlength=128) if len(sums) else np.zeros(128, np.int64)
-        out.append((r, -1, 1, pack40(keys), sums.astype("<u8").tobytes()))
+        out.append((r, -1, 1, pack40(keys), pack_counts(sums)))
         out.append((r, -1, 2, totals.tobytes(), spread.astype(np.int64).tobytes()))
         c = list(zip(*out, strict=True))
         return pa.table({"r": pa.array(c[0], pa.int32()), "g": pa.array(c[1], pa.int32()), "kind": pa.array(c[2], pa.int8()), "keys": pa.array(c[3], pa.binary()), "counts": pa.array(c[4], pa.binary())})
@@ -169,7 +169,7 @@ def score_documents(docs: DataFrame, held_out, max_filter_mb: int = 256, mb_each
     def build(batches):
         for b in batches:
             for r, k, c in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                q = level(np.frombuffer(c, "<u8").astype(np.int64), least)
+                q = level(unpack_counts(c, len(k) // 5).astype(np.int64), least)
                 size = size_of(int(q.sum()))
                 yield pa.RecordBatch.from_pydict({"r": pa.array([r], pa.int32()), "top": pa.array([int(q.max(initial=0))], pa.int32()), "bits": pa.array([fill(unpack40(k), q, size) if size else b""], pa.binary())})
 
@@ -181,10 +181,11 @@ def score_documents(docs: DataFrame, held_out, max_filter_mb: int = 256, mb_each
     bits = spark.sparkContext.broadcast(b"".join(bytes(p.bits) for p in parts))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = unpack_texts(left)
         h, counts = tokens(to_bytes(left["text"].combine_chunks()))
         one, inverse = np.unique(h, return_inverse=True)
-        back = sorted(zip(right["r"].to_pylist(), right["keys"].to_pylist(), strict=True))
-        c = np.concatenate([np.frombuffer(k, "<u8") for _, k in back]).astype(np.float64)[inverse]
+        back = sorted(zip(right["r"].to_pylist(), right["keys"].to_pylist(), right["counts"].to_pylist(), strict=True))
+        c = np.concatenate([unpack_counts(k, int.from_bytes(n, "little")) for _, k, n in back]).astype(np.float64)[inverse]
         base = (c + 0.5) / (n + 0.5 * (v + 1))
         model = Filter(sizes, top, least, bits.value)
         begin = np.cumsum(counts) - counts
@@ -201,7 +202,7 @@ def score_documents(docs: DataFrame, held_out, max_filter_mb: int = 256, mb_each
 
     # As many texts begin as end, so the end token's count is the count of beginnings.
     train_docs = docs.select(F.coalesce(held_out, F.lit(False)).alias("h")).where("not h").count()
-    replies = answers.where("kind = 0").select("g", "r", "keys")
+    replies = answers.where("kind = 0").select("g", "r", "keys", "counts")
     out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return own.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(score, out)
 
