@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import gc
 import math
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 #: Fixed value: a word is a run of bytes that are none of these.
 WHITE = r"[\x20\x09-\x0D]"
@@ -17,16 +19,32 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in spark.checkpoint.dir; a local one only where no folder is set at all."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vecloom-ckpt-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame, release: bool = False) -> DataFrame:
     """Cut the lineage through the folder in spark.checkpoint.dir, which all executors share.
 
-    A machine-local folder is made only where no folder is set at all, as in local tests.
+    A machine-local folder is made only where no folder is set at all, as in local tests. The result
+    forgets its plan altogether: a checkpoint alone keeps the plan's partitionings and constraints, which
+    double with every join of an iterative job. With release, the driver's garbage is collected at once, so
+    that Spark's cleaner deletes the shuffle files that led here, and a job needs the disk of one phase.
     """
     spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vecloom-ckpt-"))
-    return df.checkpoint(eager=True)
+    shared_folder(spark)
+    saved = df.checkpoint(eager=True)
+    rows = saved._jdf.queryExecution().toRdd()
+    out = DataFrame(spark._jsparkSession.internalCreateDataFrame(rows, saved._jdf.schema(), False), spark)
+    if release:
+        del df, saved, rows
+        gc.collect()
+        spark._jvm.System.gc()
+    return out
 
 
 def plan_bytes(df: DataFrame) -> int:
@@ -39,6 +57,11 @@ def group_count(df: DataFrame, mb_each: float, least: int = 1) -> int:
     return max(least, math.ceil(min(plan_bytes(df), 1 << 60) / (mb_each * 1e6)))
 
 
+def grouping(groups: int) -> Column:
+    """Group of each document; equal rows share a group, copies with other ids spread."""
+    return F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(groups)).cast("int")
+
+
 def crc_mod(doc_id: Column, n: int) -> Column:
     """crc32 of the id as text, modulo n: the split into held-out and training rows."""
     return F.crc32(doc_id.cast("string")) % n

@@ -71,6 +71,15 @@ def unpack40(raw: bytes) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
+def squeeze(raw: bytes) -> bytes:
+    """Size and compressed bytes."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unsqueeze(raw: bytes) -> bytes:
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True)
+
+
 def pack_counts(counts: np.ndarray) -> bytes:
     """Counts, most of them small, compressed."""
     return pa.compress(counts.astype("<u8").tobytes(), "zstd", asbytes=True)
