@@ -47,14 +47,20 @@ def checkpointed(df: DataFrame, release: bool = False) -> DataFrame:
     return out
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Size that the optimizer expects of the plan; no job runs."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def text_bytes(df: DataFrame) -> int:
+    """Bytes of df as the optimizer sees them if it reads files plainly; else texts are measured by a job."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    size = lambda p: int(str(p.stats().sizeInBytes()))
+    leaves = plan.collectLeaves()
+    total = sum(size(leaves.apply(i)) for i in range(leaves.length()))
+    if total < 1 << 50 and size(plan) <= total:
+        return size(plan)
+    return df.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
 
 
 def group_count(df: DataFrame, mb_each: float, least: int = 1) -> int:
     """Number of groups so that each holds about mb_each of the input; it never changes a result."""
-    return max(least, math.ceil(min(plan_bytes(df), 1 << 60) / (mb_each * 1e6)))
+    return max(least, math.ceil(text_bytes(df) / (mb_each * 1e6)))
 
 
 def grouping(groups: int) -> Column:

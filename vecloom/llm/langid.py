@@ -177,6 +177,23 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame
     return docs.select(*keep, "text").mapInArrow(predict, schema)
 
 
+def accepted(docs: DataFrame, model: Model | None, least: float = 0.3) -> DataFrame:
+    """The rows of docs whose text has a predicted language with a score of at least `least`; columns as they are."""
+    at = docs.columns.index("text")
+
+    def choose(batches):
+        for b in batches:
+            raw = [x or b"" for x in b.column(at).cast("binary").to_pylist()]
+            keep: list[bool] = []
+            for lo in range(0, len(raw), 512):
+                part = raw[lo : lo + 512]
+                found = model.predict(features(part)) if model else [("und", 0.0)] * len(part)
+                keep += [s >= least and g != "und" and _LETTER.search(t.decode("utf-8", "ignore")) is not None for t, (g, s) in zip(part, found, strict=True)]
+            yield b.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(choose, docs.schema)
+
+
 def op2_langid(spark, sf_dir):
     docs = read_documents(spark, sf_dir)
     model = fit(docs.where(F.coalesce(crc_mod(F.col("doc_id"), 4) != 2, F.lit(True))))

@@ -159,9 +159,10 @@ def score_documents(docs: DataFrame, held_out, max_filter_mb: int = 256, mb_each
 
     # The least count that is stored: MIN_COUNT, or what brings the filter below its bound.
     least = MIN_COUNT
+    floor = np.maximum(np.ceil(STEP ** (np.arange(128) - 1.0)), MIN_COUNT)  # smallest count of each class of counts
     while True:
-        floor = np.ceil(STEP ** (np.arange(128) - 1.0))  # smallest count of each level of base 1
-        items = int((spread * (level(np.maximum(floor, MIN_COUNT).astype(np.float64), least) + 1)).sum())
+        q = level(floor, least)
+        items = int((spread * np.where(q > 0, q + 1, q)).sum())  # a count is at most one level above its class's smallest
         if size_of(items) <= max_filter_mb * 8e6:
             break
         least = math.ceil(least * STEP)

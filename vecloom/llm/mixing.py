@@ -188,6 +188,13 @@ def mix_sources(
     )
 
 
+def repeated(docs: DataFrame, **options) -> DataFrame:
+    """docs with every row as often as the mix takes it; columns as they are. Rows that repeat an id share a decision."""
+    plan = mix_sources(docs, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
+    rows = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("_id")))
+    return rows.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("_k")).drop("_k")
+
+
 def op8_mixing(spark, sf_dir):
     from ._common import read_documents
 
