@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+    _LIBC.malloc_trim  # noqa: B018
+except (OSError, AttributeError):
+    _LIBC = None
 
 U64 = np.uint64
 #: Odd 64-bit multipliers for hashing.
@@ -49,16 +57,41 @@ def to_bytes(column) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast("binary").to_pylist()]
 
 
+def trim() -> None:
+    """Give freed memory back to the system; Python workers live on between tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
+def trimmed(fn):
+    """fn for a group of rows or a pair of them, with its scratch memory given back after each group."""
+
+    def one(table):
+        out = fn(table)
+        trim()
+        return out
+
+    def two(left, right):
+        out = fn(left, right)
+        trim()
+        return out
+
+    return one if fn.__code__.co_argcount == 1 else two
+
+
 def chunks(texts: list[bytes], limit: int) -> Iterator[tuple[int, int]]:
     """Slices of at most limit bytes, or of one text that is longer; keeps numpy's scratch space small."""
     lo = total = 0
     for i, t in enumerate(texts):
         if i > lo and total + len(t) > limit:
             yield lo, i
+            trim()
             lo, total = i, 0
         total += len(t) + 1
     if lo < len(texts):
         yield lo, len(texts)
+        trim()
 
 
 class Words:

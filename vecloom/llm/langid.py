@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ._common import crc_mod, read_documents
-from ._text import chunks
+from ._text import chunks, trim
 
 DIM = 2048
 SAMPLE = 20_000
@@ -190,6 +190,7 @@ def accepted(docs: DataFrame, model: Model | None, least: float = 0.3) -> DataFr
                 found = model.predict(features(part)) if model else [("und", 0.0)] * len(part)
                 keep += [s >= least and g != "und" and _LETTER.search(t.decode("utf-8", "ignore")) is not None for t, (g, s) in zip(part, found, strict=True)]
             yield b.filter(pa.array(keep, pa.bool_()))
+            trim()
 
     return docs.mapInArrow(choose, docs.schema)
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ._common import checkpointed, crc_mod, group_count, read_documents
 from ._packed import LOW40, pack40, pack_counts, pack_texts, range_of, split, summed, unpack40, unpack_counts, unpack_texts
-from ._text import K1, K2, U64, Words, chunks, mix, pair_hash, to_bytes
+from ._text import K1, K2, U64, Words, chunks, mix, pair_hash, to_bytes, trimmed
 
 END, BEGIN = U64(0x1F83D9ABFB41BD6B), U64(0x5BE0CD19137E2179)
 MIN_COUNT = 2
@@ -111,7 +111,7 @@ def size_of(items: int) -> int:
     return 8 * math.ceil(items * BITS_EACH / 8) if items else 0
 
 
-def score_documents(docs: DataFrame, held_out, max_filter_mb: int = 256, mb_each: float = 4.0) -> DataFrame:
+def score_documents(docs: DataFrame, held_out, max_filter_mb: int = 128, mb_each: float = 4.0) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every whole text."""
     spark = docs.sparkSession
     groups = group_count(docs, mb_each)
@@ -152,7 +152,7 @@ def score_documents(docs: DataFrame, held_out, max_filter_mb: int = 256, mb_each
         return pa.table({"r": pa.array(c[0], pa.int32()), "g": pa.array(c[1], pa.int32()), "kind": pa.array(c[2], pa.int8()), "keys": pa.array(c[3], pa.binary()), "counts": pa.array(c[4], pa.binary())})
 
     packed = "r int, g int, kind byte, keys binary, counts binary"
-    answers = checkpointed(own.groupBy("g").applyInArrow(ask, packed).groupBy("r").applyInArrow(answer, packed))
+    answers = checkpointed(own.groupBy("g").applyInArrow(trimmed(ask), packed).groupBy("r").applyInArrow(trimmed(answer), packed))
     totals = answers.where("kind = 2").select("keys", "counts").collect()  # some 1 KB a range
     n, v = np.sum([np.frombuffer(t.keys, np.int64) for t in totals], axis=0).tolist() if totals else (0, 0)
     spread = np.sum([np.frombuffer(t["counts"], np.int64) for t in totals], axis=0) if totals else np.zeros(128)
@@ -205,7 +205,7 @@ def score_documents(docs: DataFrame, held_out, max_filter_mb: int = 256, mb_each
     train_docs = docs.select(F.coalesce(held_out, F.lit(False)).alias("h")).where("not h").count()
     replies = answers.where("kind = 0").select("g", "r", "keys", "counts")
     out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return own.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(score, out)
+    return own.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(trimmed(score), out)
 
 
 def op6_lm(spark, sf_dir):

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from ._common import checkpointed, read_documents
 from ._packed import squeeze, unsqueeze
-from ._text import U64, Words, chunks, mix, pair_hash, to_bytes
+from ._text import U64, Words, chunks, mix, pair_hash, to_bytes, trim
 from .components import components
 from .pieces import spread
 
@@ -75,7 +75,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
     def run(batches):
         for b in batches:
             texts = to_bytes(b.column(1))
-            for lo, hi in chunks(texts, 2 << 20):
+            for lo, hi in chunks(texts, 1 << 20):
                 sets = shingle_sets(texts[lo:hi], n)
                 sizes = np.array([len(s) for s in sets], np.int64)
                 full = np.flatnonzero(sizes)
@@ -166,6 +166,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, n: int, percent: int) -> DataFra
                 if 100 * common >= percent * (len(own) + len(other) - common):
                     keep.append(i)
             yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+            trim()
 
     kind = pairs.schema["a"].dataType.simpleString()
     return with_texts.mapInArrow(run, f"a {kind}, b {kind}")

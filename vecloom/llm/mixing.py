@@ -36,7 +36,7 @@ def count_words(docs: DataFrame, keep: list[str]) -> DataFrame:
     def count(batches):
         for b in batches:
             texts = to_bytes(b.column(b.num_columns - 1))
-            sizes = [Words(texts[lo:hi], lower=False, hashed=False).counts for lo, hi in chunks(texts, 4 << 20)]
+            sizes = [Words(texts[lo:hi], lower=False, hashed=False).counts for lo, hi in chunks(texts, 2 << 20)]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[:-1], pa.array(np.concatenate(sizes) if sizes else [], pa.int64())], names=[*keep, "size"]
             )
