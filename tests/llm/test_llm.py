@@ -16,7 +16,7 @@ from vecloom.llm import bwt, langid, lm, merkle, minhash, mixing, pieces, qualit
 from vecloom.llm._pieces import SPACE, HashTable, is_special, load_pieces
 from vecloom.llm._text import U64, Words
 from vecloom.llm.components import components
-from vecloom.llm.queries import QUERIES
+from vecloom.llm.queries import ORACLE_SQL, QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -398,6 +398,16 @@ def test_rules_keep_the_good(spark, data, odd):
     assert rules.quality_rules(odd, none).where("kept = base_failed").isEmpty() and rules.quality_rules(odd.limit(0), none).count() == 0
 
 
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
+def test_same_rows_as_sql(spark, data, name):
+    import duckdb
+
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    df = QUERIES[name](spark, data)
+    assert sorted(map(tuple, df.collect())) == sorted(c.sql(f"SELECT {', '.join(df.columns)} FROM ({ORACLE_SQL[name]})").fetchall())
+
+
 # Pipeline
 
 
