@@ -77,3 +77,15 @@ def test_accounts():
         a.check(u.value)
     with pytest.raises(Denied):
         a.login("ann", "secret")
+
+
+def test_query_log(spark):
+    from vecloom.operators.query_log import privacy_metrics, with_dummies
+
+    q = generate(spark, 200, 6).select(F.col("vec_id").alias("query_id"), "embedding")
+    mixed = with_dummies(q, 6, 0.5)
+    real, dummies = mixed.where("real").count(), mixed.where("not real").count()
+    assert real == 200 and 60 < dummies < 140 and mixed.where("size(embedding) <> 6").isEmpty()
+    log = spark.createDataFrame([(True, 4, 4, 10.0), (False, 4, 8, 20.0)], "real boolean, probed int, decoys int, ms double")
+    assert tuple(privacy_metrics(log).first()) == (1, 1, 8, 12, 0.6, 15.0)
+    assert tuple(privacy_metrics(log.limit(0)).first())[:2] == (0, 0)

@@ -262,7 +262,9 @@ class VectorDB:
         plain = fetched.withColumn("v", crypt.bytes_to_vector(crypt.decrypt(F.col("ciphertext"), c.key, F.col("vec_id")))).where("v is not null")
         score = cosine(F.col("embedding"), F.col("v"))
         score = grid(score, c.score_bits) if c.score_bits else F.round(score, 6)
-        best = plain.join(q, "query_id").groupBy("query_id", "vec_id", "version").agg(F.max(score).alias("score"))
+        best = plain.join(q, "query_id").select("query_id", "vec_id", "version", score.alias("score"))
+        if c.replicas > 1:
+            best = top_k(best, k * c.replicas).drop("rank").distinct()
         found = top_k(best, k)
         return (found.join(current, ["vec_id", "version"], "left_semi") if hidden_after else found).select("query_id", "vec_id", "score", "rank")
 

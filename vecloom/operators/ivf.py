@@ -20,14 +20,18 @@ def probes(queries: DataFrame, centroids: DataFrame, least: int = 4, most: int =
     return strict(ranked, least)
 
 
-def search(queries: DataFrame, rows: DataFrame, assigned: DataFrame, probed: DataFrame, k: int = 10) -> DataFrame:
+def search(queries: DataFrame, rows: DataFrame, assigned: DataFrame, probed: DataFrame, k: int = 10, replicas: int = 1) -> DataFrame:
     """query_id, vec_id, score, rank: best k over the probed clusters; a vector in several of them counts once.
 
-    rows: vec_id, embedding. assigned: vec_id, cluster_id.
+    rows: vec_id, embedding. assigned: vec_id, cluster_id, at most `replicas` rows a vector. Pairs are scored where
+    they meet; only the best k * replicas of each query and task are shuffled on.
     """
-    pairs = probed.join(assigned.select("vec_id", "cluster_id"), "cluster_id").select("query_id", "vec_id").distinct()
     q = queries.select("query_id", F.col("embedding").alias("q"))
-    scored = pairs.join(rows.select("vec_id", "embedding"), "vec_id").join(q, "query_id").select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+    stored = rows.select("vec_id", "embedding").join(assigned.select("vec_id", "cluster_id"), "vec_id")
+    met = stored.join(probed.join(q, "query_id"), "cluster_id")
+    scored = met.select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
+    if replicas > 1:
+        scored = top_k(scored, k * replicas).drop("rank").distinct()
     return top_k(scored, k)
 
 

@@ -7,10 +7,11 @@ import math
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.vectors import hamming, hyperplane_signature
+from ..functions.vectors import hyperplane_signature
 from .cluster import mean_vectors
-from .scan import rescore, top_k
+from .scan import block_scan, rescore, top_k
 
 
 def hyperplanes(bits: int, dimension: int, seed: int | bytes = 42) -> list[list[float]]:
@@ -38,16 +39,13 @@ def mask(sig: Column, key: int) -> Column:
 
 
 def hamming_candidates(queries: DataFrame, signed: DataFrame, k: int, within: int | None = None) -> DataFrame:
-    """query_id, vec_id, hamming, rank: the k nearest signatures, optionally within a distance.
-
-    Queries meet distinct signatures, not rows; rows come back by a join on the signature. A signature of
-    b bits has at most 2**b values, which bounds what is compared however many rows there are.
-    """
-    distinct = signed.select("sig").distinct()
-    near = queries.select("query_id", F.col("sig").alias("qsig")).join(distinct).select("query_id", "sig", hamming(F.col("qsig"), F.col("sig")).alias("hamming"))
-    if within is not None:
-        near = near.where(F.col("hamming") <= within)
-    return top_k(near.join(signed.select("vec_id", "sig"), "sig").select("query_id", "vec_id", "hamming"), k, "hamming", ascending=True)
+    """query_id, vec_id, hamming, rank: the k nearest signatures (sig), optionally within a distance; queries in blocks."""
+
+    def distance(sigs: list, q: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(np.array(sigs, np.int64)[:, None].view(np.uint64) ^ q.astype(np.int64).view(np.uint64)).astype(np.float64)
+
+    found = block_scan(queries, signed, "sig", distance, k, "hamming", True, T.IntegerType())
+    return found if within is None else found.where(F.col("hamming") <= within)
 
 
 def multi_probe(queries: DataFrame, signed: DataFrame, flips: int) -> DataFrame:

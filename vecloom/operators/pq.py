@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,6 +15,8 @@ from .scan import rescore, top_k
 
 #: A codebook is fitted on at most so many rows (those with the smallest hash of their id).
 SAMPLE = 100_000
+#: Queries whose distance tables are broadcast together (some 16 KB each).
+TABLE_BLOCK = 2048
 
 
 def train(rows: DataFrame, subspaces: int, codes: int = 256, seed: int = 73, max_iter: int = 25) -> DataFrame:
@@ -87,10 +91,18 @@ def decode(encoded: DataFrame, codebook: DataFrame) -> DataFrame:
 
 
 def adc_scores(tables: DataFrame, encoded: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """query_id, vec_id, dist from the tables, for all codes or for candidate pairs only."""
+    """query_id, vec_id, dist from the tables, for all codes or for candidate pairs only.
+
+    Tables meet all codes TABLE_BLOCK queries at a time, which bounds what is broadcast.
+    """
     total = F.aggregate(F.transform("codes", lambda c, m: F.get(F.get(F.col("adc"), m), c)), F.lit(0.0), lambda s, x: s + x)
-    both = encoded.crossJoin(F.broadcast(tables)) if pairs is None else pairs.join(encoded, "vec_id").join(tables, "query_id")
-    return both.select("query_id", "vec_id", F.round(total, 6).alias("dist"))
+    pick = lambda df: df.select("query_id", "vec_id", F.round(total, 6).alias("dist"))
+    if pairs is not None:
+        return pick(pairs.join(encoded, "vec_id").join(tables, "query_id"))
+    parts = max(1, -(-tables.count() // TABLE_BLOCK))
+    block = F.pmod(F.xxhash64("query_id"), F.lit(parts))
+    scored = [pick(encoded.crossJoin(F.broadcast(tables.where(block == i)))) for i in range(parts)]
+    return reduce(DataFrame.unionByName, scored)
 
 
 def rerank_count(k: int, scored: int, multiplier: int = 20, floor: int = 200, share: float = 0.1) -> int:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Queries are sent to the workers in blocks of so many, so a broadcast has a fixed size.
 QUERY_BLOCK = 4096
@@ -22,49 +23,61 @@ def top_k(scores: DataFrame, k: int, by: str = "score", ascending: bool = False,
     return scores.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(order, ties))).where(F.col("rank") <= k)
 
 
-def _blocks(queries: DataFrame) -> Iterator[tuple[list, np.ndarray]]:
-    """Ids and vectors of the queries, QUERY_BLOCK at a time."""
+def _blocks(queries: DataFrame, column: str) -> Iterator[tuple[list, np.ndarray]]:
+    """Ids and values of the queries, QUERY_BLOCK at a time."""
     ids, rows = [], []
-    for r in queries.select("query_id", "embedding").toLocalIterator():
+    for r in queries.select("query_id", column).toLocalIterator():
         ids.append(r.query_id)
-        rows.append(r.embedding)
+        rows.append(r[1])
         if len(ids) == QUERY_BLOCK:
-            yield ids, np.array(rows, np.float64)
+            yield ids, np.array(rows)
             ids, rows = [], []
     if ids:
-        yield ids, np.array(rows, np.float64)
+        yield ids, np.array(rows)
 
 
 def exact_search(queries: DataFrame, base: DataFrame, k: int, metric: str = "cosine") -> DataFrame:
     """query_id, vec_id, score, rank: the k nearest rows of base (vec_id, embedding) for each query.
 
-    Each task keeps its own best k of a query, so k rows a query and task are shuffled. Scores are rounded
-    to 6 places before they are ranked. metric: cosine, dot (larger is nearer) or l2sq (smaller is nearer).
+    Scores are rounded to 6 places before they are ranked. metric: cosine, dot (larger is nearer) or l2sq
+    (smaller is nearer).
     """
-    near = metric == "l2sq"
-    kinds = (queries.schema["query_id"].dataType, base.schema["vec_id"].dataType)
-    schema = T.StructType([T.StructField("query_id", kinds[0]), T.StructField("vec_id", kinds[1]), T.StructField("score", T.DoubleType())])
-    spark, found = base.sparkSession, None
-    for ids, q in _blocks(queries):
+
+    def score(v: list, q: np.ndarray) -> np.ndarray:
+        v = np.array(v, np.float64)
+        s = v @ q.T
+        if metric == "cosine":
+            scale = np.linalg.norm(v, axis=1)[:, None] * np.linalg.norm(q, axis=1)
+            s = np.divide(s, scale, out=np.zeros_like(s), where=scale > 0)
+        elif metric == "l2sq":
+            s = np.maximum((v * v).sum(1)[:, None] - 2 * s + (q * q).sum(1), 0)
+        return np.round(s, 6) + 0.0
+
+    return block_scan(queries, base, "embedding", score, k, "score", metric == "l2sq", T.DoubleType())
+
+
+def block_scan(queries: DataFrame, base: DataFrame, column: str, score: Callable, k: int, name: str, ascending: bool, kind: T.DataType) -> DataFrame:
+    """Best k rows of base for each query by score(values of base, array of query values).
+
+    Queries come in blocks, and each task keeps its own best k of a query, so k rows a query and task are shuffled.
+    """
+    schema = T.StructType([
+        T.StructField("query_id", queries.schema["query_id"].dataType), T.StructField("vec_id", base.schema["vec_id"].dataType), T.StructField(name, kind)
+    ])
+    spark, found, near = base.sparkSession, None, ascending
+    types = [to_arrow_type(f.dataType) for f in schema]
+    for ids, q in _blocks(queries, column):
         held = spark.sparkContext.broadcast((ids, q))
 
         def scan(batches, held=held):
             ids, q = held.value
-            norms = np.linalg.norm(q, axis=1)
             best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, object))] * len(ids)
             for b in batches:
                 keep = b.filter(pa.compute.is_valid(b.column(1)))
                 if not keep.num_rows:
                     continue
                 names = np.array(keep.column(0).to_pylist(), object)
-                v = np.array(keep.column(1).to_pylist(), np.float64)
-                s = v @ q.T
-                if metric == "cosine":
-                    scale = np.linalg.norm(v, axis=1)[:, None] * norms
-                    s = np.divide(s, scale, out=np.zeros_like(s), where=scale > 0)
-                elif near:
-                    s = np.maximum((v * v).sum(1)[:, None] - 2 * s + (q * q).sum(1), 0)
-                s = np.round(s, 6) + 0.0
+                s = score(keep.column(1).to_pylist(), q)
                 for j in range(len(ids)):
                     c, n = np.concatenate([best[j][0], s[:, j]]), np.concatenate([best[j][1], names])
                     if len(c) > k:
@@ -75,13 +88,12 @@ def exact_search(queries: DataFrame, base: DataFrame, k: int, metric: str = "cos
                     best[j] = (c, n)
             for j, (c, n) in enumerate(best):
                 if len(c):
-                    yield pa.RecordBatch.from_pydict({"query_id": pa.array([ids[j]] * len(c)), "vec_id": pa.array(n.tolist()), "score": pa.array(c)})
+                    columns = ([ids[j]] * len(c), n.tolist(), c.tolist() if types[2] == pa.float64() else c.astype(int).tolist())
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=["query_id", "vec_id", name])
 
-        part = top_k(base.select("vec_id", "embedding").mapInArrow(scan, schema), k, ascending=near)
+        part = top_k(base.select("vec_id", column).mapInArrow(scan, schema), k, name, ascending)
         found = part if found is None else found.unionByName(part)
-    if found is None:
-        return top_k(spark.createDataFrame([], schema), k)
-    return found
+    return found if found is not None else top_k(spark.createDataFrame([], schema), k, name)
 
 
 def rescore(pairs: DataFrame, queries: DataFrame, base: DataFrame, score: Column | None = None) -> DataFrame:

@@ -44,7 +44,7 @@ class Tables:
         return threshold(self.ranked(), 3, 6, 0.95)
 
     def search(self, probed: DataFrame, nearest: int = 1) -> DataFrame:
-        return ivf.search(self.queries, self.base, self.assigned(nearest), probed)
+        return ivf.search(self.queries, self.base, self.assigned(nearest), probed, replicas=nearest)
 
     def scratch(self) -> str:
         """A new folder among those that all executors share."""
