@@ -89,6 +89,7 @@ def signatures(docs: DataFrame, n: int) -> DataFrame:
                 digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * COORDS, pa.int32()), pa.array(sig.ravel().view(np.int32)))
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(sizes), pa.array(digests, pa.binary()), lists, pa.array([x.tobytes() for x in sig.astype(np.uint8)], pa.binary())], names=["doc_id", "n_shingles", "digest", "sig", "code"])
+                trim()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_shingles long, digest binary, sig array<int>, code binary")

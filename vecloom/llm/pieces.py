@@ -16,6 +16,7 @@ pieces; texts of any length are whole; an empty table gives an empty table; extr
 from __future__ import annotations
 
 import heapq
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from ._common import read_documents
 from ._pieces import SPACE, HashTable, is_special, load_pieces
-from ._text import K1, K2, K3, U64, chunks, mix, powers, to_bytes
+from ._text import K1, K2, K3, U64, chunks, mix, powers, to_bytes, trim
 
 NONE = np.int32(1 << 30)
 #: Words of more symbols are merged with a heap, one at a time; the results are the same.
@@ -62,6 +63,12 @@ class Vocabulary:
         return np.where(found < 0, NONE, found)
 
 
+@lru_cache(1)
+def vocabulary(pieces: tuple[str, ...]) -> Vocabulary:
+    """A worker builds its tables once and keeps them for later tasks."""
+    return Vocabulary(pieces)
+
+
 def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """Indices begin[i] .. begin[i] + size[i] - 1 for all i, one after the other."""
     upto = np.cumsum(size)
@@ -236,21 +243,23 @@ def decode_ids(ids: np.ndarray, voc: Vocabulary) -> bytes:
 
 def encode(docs: DataFrame, dropout: float = 0.1, seed: int = 5, variants: int = 8, folder: str | None = None) -> DataFrame:
     """doc_id, n_pieces, pieces (ids) and lossless (the pieces decode to the text) of every whole text; no shuffle."""
-    pieces = load_pieces(folder)
+    pieces = tuple(load_pieces(folder))
 
     def run(batches):
-        voc = Vocabulary(pieces)
+        voc = vocabulary(pieces)
         for b in batches:
             texts = to_bytes(b.column(1))
             names = b.column(0).cast("string").to_pylist()
             keys = np.array([hash_id(x) for x in names], U64)
-            for lo, hi in chunks(texts, 2 << 20):
+            for lo, hi in chunks(texts, 1 << 20):
                 ids, count = encode_texts(texts[lo:hi], keys[lo:hi], voc, dropout, seed, variants)
                 upto = np.concatenate([[0], np.cumsum(count)])
                 same = decode_ids(ids, voc) == b"".join(texts[lo:hi])
                 ok = [True] * (hi - lo) if same else [decode_ids(ids[upto[i] : upto[i + 1]], voc) == texts[lo + i] for i in range(hi - lo)]
                 lists = pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(ids, pa.int32()))
                 yield pa.RecordBatch.from_arrays([b.column(0)[lo:hi], pa.array(count), lists, pa.array(ok)], names=["doc_id", "n_pieces", "pieces", "lossless"])
+                del ids, lists
+                trim()
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_pieces long, pieces array<int>, lossless boolean")
@@ -266,10 +275,10 @@ def hash_id(x: str | None) -> int:
 
 def decode(encoded: DataFrame, folder: str | None = None) -> DataFrame:
     """doc_id and text, from doc_id and pieces."""
-    pieces = load_pieces(folder)
+    pieces = tuple(load_pieces(folder))
 
     def run(batches):
-        voc = Vocabulary(pieces)
+        voc = vocabulary(pieces)
         for b in batches:
             texts = [decode_ids(np.array(x or [], np.int64), voc).decode("utf-8", "replace") for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["doc_id", "text"])
