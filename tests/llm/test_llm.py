@@ -287,6 +287,22 @@ def test_scores_edges(spark, odd):
     assert lm.score_documents(odd.limit(0), F.lit(False)).count() == 0
 
 
+def test_scores_know_bigrams_seen_once(spark):
+    words = [f"w{i}" for i in range(400)]
+    other = [*words[1::2], *reversed(words[::2])]
+    rows = [(1, " ".join(words), False), (2, " ".join(words), True), (3, " ".join(other), True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h boolean")
+    one, two = ({r.doc_id: r.score for r in lm.score_documents(df, F.col("h"), **o).collect()} for o in ({}, {"max_filter_mb": 0, "mb_each": 0.0001}))
+    assert one[1] == one[2] > one[3] + 5
+    assert two[1] == two[2] > two[3] + 5
+
+
+def test_scores_do_not_depend_on_the_filter_bound(docs):
+    held = F.crc32(F.col("doc_id").cast("string")) % 5 == 1
+    a, b = ({r.doc_id: r.score for r in lm.score_documents(docs, held, max_filter_mb=m, mb_each=0.05).collect()} for m in (128, 0))
+    assert a == b
+
+
 # 8: mixing
 
 

@@ -1,15 +1,16 @@
 """Language-model scores from a log-frequency Bloom filter of bigram counts (operator 6).
 
-Training documents' bigrams are counted exactly; counts of MIN_COUNT and more are quantised on a
-logarithmic scale, and a bigram of level q is put into a Bloom filter under levels 1 to q. The filter
-is broadcast; a scorer probes levels upwards until one is missing, and the level reached gives the
-count. The probability of a token interpolates that bigram estimate with the smoothed unigram base,
-with a weight that grows with the count of the history.
-
-Unigram counts are exact for every token: groups of documents ask the hash ranges that own the words,
-and the answers come back by a shuffle, so no vocabulary is ever broadcast. The filter grows with the
-corpus up to max_filter_mb, a proven bound on what is broadcast; beyond that the smallest count that is
-stored rises until the filter fits, as pruned models do, and no document is left out.
+Training documents' bigrams are counted exactly, those seen once too; counts are quantised on a
+logarithmic scale, and a bigram of level q is put into a Bloom filter under levels 1 to q. A bigram is
+probed under levels upwards until one is missing, and the level reached gives the count. The probability
+of a token interpolates that bigram estimate with the smoothed unigram base, with a weight that grows
+with the count of the history.
+
+The filter is never in one place: each hash range fills and probes its own part, which grows with its
+items and is dropped afterwards. Groups of documents ask the ranges that own their words and bigrams,
+held-out ones too, and exact unigram counts and bigram levels come back by a shuffle. So neither a
+vocabulary nor a filter is broadcast, no count is left out at any size, and a range's share stays the
+same since there are more ranges for more text.
 
 Defined results: null and empty texts have one token, the end; without training documents each token
 has probability one; rows with a null id are training rows; equal texts have equal scores; an empty
@@ -26,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import checkpointed, crc_mod, group_count, read_documents
-from ._packed import LOW40, pack40, pack_counts, pack_texts, range_of, split, summed, unpack40, unpack_counts, unpack_texts
+from ._packed import LOW40, pack40, pack_counts, pack_texts, range_of, squeeze, summed, unpack40, unpack_counts, unpack_texts, unsqueeze
 from ._text import K1, K2, U64, Words, chunks, mix, pair_hash, to_bytes, trimmed
 
 END, BEGIN = U64(0x1F83D9ABFB41BD6B), U64(0x5BE0CD19137E2179)
-MIN_COUNT = 2
+MIN_COUNT = 1
 STEP = 1.5
 PROBES = 4
 BITS_EACH = PROBES / math.log(2)
@@ -112,87 +113,69 @@ def size_of(items: int) -> int:
 
 
 def score_documents(docs: DataFrame, held_out, max_filter_mb: int = 128, mb_each: float = 4.0) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every whole text."""
-    spark = docs.sparkSession
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every whole text.
+
+    max_filter_mb is accepted and changes nothing: the filter stays in its ranges, so there is no size to bound.
+    """
     groups = group_count(docs, mb_each)
     own = pack_texts(docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text"), groups, ["doc_id", "held_out"])
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def ask(table: pa.Table) -> pa.Table:
-        """What a group says to the ranges: its distinct tokens with training counts, its training bigrams."""
+        """What a group says to the ranges: its distinct tokens and bigrams with their training counts."""
         g = table["g"][0].as_py()
         table = unpack_texts(table)
         h, counts = tokens(to_bytes(table["text"].combine_chunks()))
         train = np.repeat(~np.array(table["held_out"].to_pylist(), bool), counts)
-        two, n = np.unique(bigrams(h, counts)[train], return_counts=True)
-        one, inverse = np.unique(h, return_inverse=True)
-        rows = [(r, 0, one[a:b].tobytes(), pack_counts(c[a:b])) for c in [np.bincount(inverse, train, len(one))] for r, a, b in split(one, groups)]
-        rows += [(r, 1, pack40(two[a:b]), pack_counts(n[a:b])) for r, a, b in split(two, groups)]
-        r, k, keys, c = zip(*rows, strict=True)
-        return pa.table({"r": pa.array(r, pa.int32()), "g": pa.array([g] * len(rows), pa.int32()), "kind": pa.array(k, pa.int8()), "keys": pa.array(keys, pa.binary()), "counts": pa.array(c, pa.binary())})
+        said = []
+        for x in (h, bigrams(h, counts)):
+            keys, inverse = np.unique(x, return_inverse=True)
+            said.append((keys, np.bincount(inverse, train, len(keys)), np.searchsorted(range_of(keys, groups), np.arange(groups + 1))))
+        (one, n, at), (two, m, to) = said
+        rows = [
+            (r, g, one[a:b].tobytes(), pack_counts(n[a:b]), pack40(two[c:d]), pack_counts(m[c:d]))
+            for r, (a, b, c, d) in enumerate(zip(at[:-1], at[1:], to[:-1], to[1:], strict=True)) if b > a or d > c
+        ]
+        c = list(zip(*rows, strict=True))
+        return pa.table({"r": pa.array(c[0], pa.int32()), "g": pa.array(c[1], pa.int32())} | {k: pa.array(x, pa.binary()) for k, x in zip(("keys", "counts", "pairs", "pair_counts"), c[2:], strict=True)})
 
     def answer(table: pa.Table) -> pa.Table:
-        """A range's sums: counts back to each group (0), totals (2), and its bigrams of MIN_COUNT and more (1)."""
+        """A range's training counts of tokens and levels of bigrams back to each group; totals for group -1."""
         r = table["r"][0].as_py()
-        rows = list(zip(table["g"].to_pylist(), table["kind"].to_pylist(), table["keys"].to_pylist(), table["counts"].to_pylist(), strict=True))
-        asked = [(g, np.frombuffer(k, "<u8"), unpack_counts(c, len(k) // 8)) for g, kind, k, c in rows if kind == 0]
-        out, totals = [], np.zeros(2, np.int64)
-        if asked:
-            keys, sums = summed(np.concatenate([x[1] for x in asked]), np.concatenate([x[2] for x in asked]))
-            totals = np.array([sums.sum(), (sums > 0).sum()], np.int64)
-            out = [(r, g, 0, pack_counts(sums[np.searchsorted(keys, k)]), len(k).to_bytes(8, "little")) for g, k, _ in asked]
-        pairs = [(unpack40(k), unpack_counts(c, len(k) // 5)) for _, kind, k, c in rows if kind == 1]
-        keys, sums = summed(np.concatenate([x[0] for x in pairs]), np.concatenate([x[1] for x in pairs])) if pairs else (np.zeros(0, U64), np.zeros(0, np.int64))
-        keep = sums >= MIN_COUNT
-        keys, sums = keys[keep], sums[keep]
-        spread = np.bincount(np.minimum(level(sums, 1), 127), minlength=128) if len(sums) else np.zeros(128, np.int64)
-        out.append((r, -1, 1, pack40(keys), pack_counts(sums)))
-        out.append((r, -1, 2, totals.tobytes(), spread.astype(np.int64).tobytes()))
+        back = table["g"].to_pylist()
+        ones, n, twos, m = [], [], [], []
+        for k, c, p, q in zip(*(table[x].to_pylist() for x in ("keys", "counts", "pairs", "pair_counts")), strict=True):
+            ones.append(np.frombuffer(k, "<u8"))
+            n.append(unpack_counts(c, len(ones[-1])))
+            twos.append(unpack40(p))
+            m.append(unpack_counts(q, len(twos[-1])))
+        keys, sums = summed(np.concatenate(ones), np.concatenate(n))
+        pairs, often = summed(np.concatenate(twos), np.concatenate(m))
+        q = level(often, MIN_COUNT)
+        size = size_of(int(q.sum()))
+        model = Filter(np.array([size]), int(q.max(initial=0)), MIN_COUNT, fill(pairs, q, size) if size else b"")
+        found = model.levels(pairs).astype(np.uint8)
+        out = [(r, g, pack_counts(sums[np.searchsorted(keys, k)]), len(k), squeeze(found[np.searchsorted(pairs, p)].tobytes())) for g, k, p in zip(back, ones, twos, strict=True)]
+        out.append((r, -1, np.array([sums.sum(), (sums > 0).sum()], np.int64).tobytes(), 0, b""))
         c = list(zip(*out, strict=True))
-        return pa.table({"r": pa.array(c[0], pa.int32()), "g": pa.array(c[1], pa.int32()), "kind": pa.array(c[2], pa.int8()), "keys": pa.array(c[3], pa.binary()), "counts": pa.array(c[4], pa.binary())})
-
-    packed = "r int, g int, kind byte, keys binary, counts binary"
-    answers = checkpointed(own.groupBy("g").applyInArrow(trimmed(ask), packed).groupBy("r").applyInArrow(trimmed(answer), packed))
-    totals = answers.where("kind = 2").select("keys", "counts").collect()  # some 1 KB a range
-    n, v = np.sum([np.frombuffer(t.keys, np.int64) for t in totals], axis=0).tolist() if totals else (0, 0)
-    spread = np.sum([np.frombuffer(t["counts"], np.int64) for t in totals], axis=0) if totals else np.zeros(128)
-
-    # The least count that is stored: MIN_COUNT, or what brings the filter below its bound.
-    least = MIN_COUNT
-    floor = np.maximum(np.ceil(STEP ** (np.arange(128) - 1.0)), MIN_COUNT)  # smallest count of each class of counts
-    while True:
-        q = level(floor, least)
-        items = int((spread * np.where(q > 0, q + 1, q)).sum())  # a count is at most one level above its class's smallest
-        if size_of(items) <= max_filter_mb * 8e6:
-            break
-        least = math.ceil(least * STEP)
-
-    def build(batches):
-        for b in batches:
-            for r, k, c in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                q = level(unpack_counts(c, len(k) // 5).astype(np.int64), least)
-                size = size_of(int(q.sum()))
-                yield pa.RecordBatch.from_pydict({"r": pa.array([r], pa.int32()), "top": pa.array([int(q.max(initial=0))], pa.int32()), "bits": pa.array([fill(unpack40(k), q, size) if size else b""], pa.binary())})
-
-    parts = sorted(answers.where("kind = 1").select("r", "keys", "counts").mapInArrow(build, "r int, top int, bits binary").collect())
-    sizes = np.zeros(groups, np.int64)
-    for p in parts:
-        sizes[p.r] = 8 * len(p.bits)
-    top = max((p.top for p in parts), default=0)
-    bits = spark.sparkContext.broadcast(b"".join(bytes(p.bits) for p in parts))
+        return pa.table({"r": pa.array(c[0], pa.int32()), "g": pa.array(c[1], pa.int32()), "counts": pa.array(c[2], pa.binary()), "n": pa.array(c[3], pa.int32()), "levels": pa.array(c[4], pa.binary())})
+
+    asked = own.groupBy("g").applyInArrow(trimmed(ask), "r int, g int, keys binary, counts binary, pairs binary, pair_counts binary")
+    answers = checkpointed(asked.groupBy("r").applyInArrow(trimmed(answer), "r int, g int, counts binary, n int, levels binary"))
+    totals = answers.where("g = -1").select("counts").collect()  # 16 bytes a range
+    n, v = np.sum([np.frombuffer(t["counts"], np.int64) for t in totals], axis=0).tolist() if totals else (0, 0)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         left = unpack_texts(left)
         h, counts = tokens(to_bytes(left["text"].combine_chunks()))
-        one, inverse = np.unique(h, return_inverse=True)
-        back = sorted(zip(right["r"].to_pylist(), right["keys"].to_pylist(), right["counts"].to_pylist(), strict=True))
-        c = np.concatenate([unpack_counts(k, int.from_bytes(n, "little")) for _, k, n in back]).astype(np.float64)[inverse]
+        back = sorted(zip(*(right[x].to_pylist() for x in ("r", "counts", "n", "levels")), strict=True))
+        c = np.concatenate([unpack_counts(k, m) for _, k, m, _ in back]).astype(np.float64)[np.unique(h, return_inverse=True)[1]]
+        q = np.frombuffer(b"".join(unsqueeze(x) for *_, x in back), np.uint8).astype(np.int64)[np.unique(bigrams(h, counts), return_inverse=True)[1]]
         base = (c + 0.5) / (n + 0.5 * (v + 1))
-        model = Filter(sizes, top, least, bits.value)
         begin = np.cumsum(counts) - counts
         history = np.roll(c, 1)
         history[begin] = train_docs
-        seen = estimate(model.levels(bigrams(h, counts)), least)
+        seen = estimate(q, MIN_COUNT)
         weight = MOST * history / (history + HISTORY)
         p = weight * np.minimum(1.0, seen / np.maximum(history, 1)) + (1 - weight) * base
         total = lambda x: np.add.reduceat(x, begin)
@@ -203,9 +186,8 @@ def score_documents(docs: DataFrame, held_out, max_filter_mb: int = 128, mb_each
 
     # As many texts begin as end, so the end token's count is the count of beginnings.
     train_docs = docs.select(F.coalesce(held_out, F.lit(False)).alias("h")).where("not h").count()
-    replies = answers.where("kind = 0").select("g", "r", "keys", "counts")
     out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return own.groupBy("g").cogroup(replies.groupBy("g")).applyInArrow(trimmed(score), out)
+    return own.groupBy("g").cogroup(answers.where("g >= 0").groupBy("g")).applyInArrow(trimmed(score), out)
 
 
 def op6_lm(spark, sf_dir):
