@@ -387,6 +387,30 @@ def test_fingerprint_ranges(spark, monkeypatch):
     assert got == dict(zip(order, order[1:] + order[:1], strict=True))
 
 
+def test_likeness_in_every_script(spark):
+    rng = random.Random(5)
+    han = "".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(2000))
+    cyrillic = " ".join("".join(rng.choices("абвгдежзийклмнопрстуфхцчшщыэюя", k=6)) for _ in range(400))
+    latin = " ".join("".join(rng.choices("abceghk", k=6)) for _ in range(400))
+    line = "over and over\n"
+    pairs = [(t, t[: len(t) // 2] + "Ω" + t[len(t) // 2 + 1 :]) for t in (han, cyrillic)] + [(latin, latin[:-9] + "!"), (line * 100, line * 50), (line * 100, line * 100 + "x"), ("", "x"), ("x", "y")]
+    near = F.col("a"), F.col("b")
+    df = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    got = [r.n for r in df.select("i", merkle.likeness(*map(merkle.fingerprint, near)).alias("n")).orderBy("i").collect()]
+    assert min(got[:3]) > 0.85 and max(got[:3]) < 1
+    assert got[3] == 0.5 and 0.99 < got[4] < 1 and got[5:] == [0, 0]
+
+
+def test_fingerprints_hold_the_tree(spark):
+    a = "one a\ntwo b\n\nthree c\nfour d"
+    f, t = spark.createDataFrame([(a,)], "a string").select(merkle.fingerprint(F.col("a")), merkle.tree(F.col("a"))).first()
+    root, _, body = f.partition(":")
+    assert root == f"{t.root},{len(a)}"
+    sections = [s.split("=") for s in body.split(";")]
+    assert [s[0].split(",")[0] for s in sections] == [x[:16] for x in t.sections]
+    assert [[p.split(",")[0] for p in s[1].split("/")] for s in sections] == [[x[:16] for x in ps] for ps in t.paragraphs]
+
+
 def test_differing_branches(spark):
     a = "one a\ntwo b\n\nthree c\nfour d"
     df = spark.createDataFrame([(a, a), (a, a.replace("four", "fOUr")), (a, a + "\n\nmore"), ("", "x")], "a string, b string")

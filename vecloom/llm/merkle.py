@@ -1,11 +1,12 @@
 """Merkle fingerprints of documents in DataFrame functions only (operator 9, native).
 
-A text is cut into sections (after a blank line), these into paragraphs (lines) and these into pieces
-of some words, cut where the content says so, hence the same after an edit elsewhere. A paragraph's
-node is the SHA-256 of its bytes, a section's that of its paragraphs' nodes, the root that of the
-sections' nodes: roots test equality, and differing branches locate an edit. The fingerprint string
-holds the root and 32-bit codes of the pieces, so that the likeness of two texts follows from their
-fingerprints alone.
+A text is cut into sections (after a blank line), these into paragraphs (lines) and these into chunks,
+cut where the content says so, hence the same after an edit elsewhere. Chunks are the leaves: a leaf's
+node is the SHA-256 of its bytes, a paragraph's that of its leaves' nodes, a section's that of its
+paragraphs' nodes, the root that of the sections' nodes. Roots test equality, and differing branches
+locate an edit. The fingerprint string holds the whole tree with the sizes of its nodes, repeats
+included, so that the likeness of two texts follows from their fingerprints alone: from differing roots
+down, equal branches are paired off once for each time they occur, and only the rest is compared below.
 
 Defined results: null is the empty text; equal texts have equal fingerprints; two empty texts have
 likeness 1; equal rows get equal results; an empty table gives an empty table; extra columns are ignored.
@@ -17,8 +18,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Pieces end after white space that follows one of these characters.
-PIECE = r"(?<=[dy.!?|#][ \t])(?=[^ \t])"
+#: A chunk in UTF-8 bytes, one character a byte: up to white space after some ASCII letters and marks, or up to a
+#: character whose last byte is one of eight of the 64 (so that scripts without spaces are cut too), or CHUNK bytes.
+CHUNK = 120
+_WHOLE = r"(?![\x80-\xBF])"
+PIECE = (
+    rf"(?s).{{1,{CHUNK}}}?(?:(?<=[dy.!?|#][ \t])(?=[^ \t])|(?<=[\x84\x8A\x92\x9B\xA5\xAE\xB2\xBB]){_WHOLE}|\z)"
+    rf"|(?s).{{1,{CHUNK}}}{_WHOLE}"
+)
 #: Ids are dealt by ranges of so many; only one row a range meets in a single task.
 BLOCK = 2048
 
@@ -27,35 +34,93 @@ def _cut(text: Column, pattern: str) -> Column:
     return F.filter(F.split(text, pattern), lambda x: x != "")
 
 
-def paragraph_hashes(text: Column) -> Column:
-    """Array (sections) of arrays of the paragraphs' SHA-256."""
-    return F.transform(_cut(text, r"(?<=\n\n)"), lambda s: F.transform(_cut(s, r"(?<=\n)(?=.)"), lambda p: F.sha2(p, 256)))
+def _with(value: Column, use) -> Column:
+    """use(value), with value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _node(children: Column) -> Column:
+    return F.sha2(F.array_join(children, ""), 256)
+
+
+def leaves(text: Column) -> Column:
+    """Array (sections) of arrays (paragraphs) of arrays of the chunks, as structs of node and size in bytes."""
+    raw = F.decode(F.encode(text, "UTF-8"), "ISO-8859-1")
+    leaf = lambda c: F.struct(F.sha2(c, 256).alias("node"), F.length(c).alias("size"))
+    chunks = lambda p: F.transform(F.regexp_extract_all(p, F.lit(PIECE), F.lit(0)), leaf)
+    return F.transform(_cut(raw, r"(?<=\n\n)"), lambda s: F.transform(_cut(s, r"(?<=\n)(?=.)"), chunks))
 
 
 def tree(text: Column) -> Column:
     """Struct of root, sections (nodes) and paragraphs (nodes by section)."""
-    ps = paragraph_hashes(text)
-    return F.struct(root_of(ps).alias("root"), F.transform(ps, lambda p: F.sha2(F.array_join(p, ""), 256)).alias("sections"), ps.alias("paragraphs"))
+    ps = F.transform(leaves(text), lambda s: F.transform(s, lambda p: _node(p["node"])))
+    return _with(ps, lambda x: F.struct(root_of(x).alias("root"), F.transform(x, _node).alias("sections"), x.alias("paragraphs")))
 
 
 def root_of(paragraphs: Column) -> Column:
-    return F.sha2(F.array_join(F.transform(paragraphs, lambda p: F.sha2(F.array_join(p, ""), 256)), ""), 256)
+    return _node(F.transform(paragraphs, _node))
 
 
-def piece_codes(text: Column) -> Column:
-    return F.transform(_cut(text, PIECE), lambda x: F.lpad(F.lower(F.hex(F.xxhash64(x).bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0"))
+def _total(sizes: Column) -> Column:
+    return F.aggregate(sizes, F.lit(0).cast("long"), lambda s, x: s + x)
 
 
 def fingerprint(text: Column) -> Column:
-    """root:code.code..."""
-    return F.concat(root_of(paragraph_hashes(text)), F.lit(":"), F.array_join(piece_codes(text), "."))
+    """root,size:section;section... with section = node,size=paragraph/paragraph..., paragraph = node,size-chunk.chunk..., chunk = code,size.
+
+    The root's node is whole; sections and paragraphs show 16 digits of theirs, chunks 8.
+    """
+    chunk = lambda c: F.concat(F.substring(c["node"], 1, 8), F.lit(","), c["size"].cast("string"))
+
+    def paragraph(p):
+        node, size = _node(p["node"]), _total(p["size"])
+        body = F.concat(F.substring(node, 1, 16), F.lit(","), size.cast("string"), F.lit("-"), F.array_join(F.transform(p, chunk), "."))
+        return F.struct(node.alias("node"), size.alias("size"), body.alias("body"))
+
+    def section(s):
+        return _with(F.transform(s, paragraph), section_of)
+
+    def section_of(ps):
+        node, size = _node(ps["node"]), _total(ps["size"])
+        body = F.concat(F.substring(node, 1, 16), F.lit(","), size.cast("string"), F.lit("="), F.array_join(ps["body"], "/"))
+        return F.struct(node.alias("node"), size.alias("size"), body.alias("body"))
+
+    whole = lambda x: F.concat(_node(x["node"]), F.lit(","), _total(x["size"]).cast("string"), F.lit(":"), F.array_join(x["body"], ";"))
+    return _with(F.transform(leaves(text), section), whole)
+
+
+def _numbered(nodes: Column) -> Column:
+    """The nodes, each with the number of equal ones before it: `node#0`, `node#1`; in time in proportion to a sort."""
+
+    def runs(s):
+        first = F.filter(F.sequence(F.lit(0), F.size(s)), lambda i: (i < F.size(s)) & ((i == 0) | (F.get(s, i) != F.get(s, i - 1))))
+        return _with(first, lambda h: F.flatten(F.transform(h, lambda b, j: F.transform(
+            F.sequence(b, F.coalesce(F.get(h, j + 1), F.size(s)) - 1), lambda i: F.concat(F.get(s, b), F.lit("#"), (i - b).cast("string"))))))
+
+    return _with(F.sort_array(nodes), runs)
+
+
+def _rest(a: Column, b: Column, use) -> Column:
+    """use(x, y): the nodes of a and b that are left when equal ones are paired off."""
+    bare = lambda x, y: F.transform(F.array_except(x, y), lambda t: F.substring_index(t, "#", 1))
+    both = _with(F.struct(_numbered(a).alias("a"), _numbered(b).alias("b")), lambda n: F.struct(bare(n["a"], n["b"]).alias("a"), bare(n["b"], n["a"]).alias("b")))
+    return _with(both, lambda n: use(n["a"], n["b"]))
+
+
+def _below(nodes: Column, opens: str, between: str) -> Column:
+    """The children of all nodes."""
+    return F.flatten(F.transform(nodes, lambda n: _cut(F.substring_index(n, opens, -1), between)))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of distinct piece codes that two fingerprints have in common, of the larger number; 1 for equal roots."""
-    x, y = (F.array_distinct(F.split(F.substring_index(c, ":", -1), r"\.")) for c in (a, b))
-    part = F.size(F.array_intersect(x, y)) / F.greatest(F.size(x), F.size(y))
-    same = F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1)
+    """Share of bytes of the larger text that lie in branches which two fingerprints have in common; 1 for equal roots."""
+    sections = lambda c: _cut(F.substring_index(c, ":", -1), ";")
+    size = lambda c: F.substring_index(F.substring_index(c, ":", 1), ",", -1).cast("long")
+    lost = lambda x, _: _total(F.transform(x, lambda c: F.substring_index(c, ",", -1).cast("long")))
+    in_paragraphs = lambda x, y: _rest(_below(x, "-", r"\."), _below(y, "-", r"\."), lost)
+    in_sections = lambda x, y: _rest(_below(x, "=", "/"), _below(y, "=", "/"), in_paragraphs)
+    part = (size(a) - _rest(sections(a), sections(b), in_sections)) / F.greatest(size(a), size(b))
+    same = F.substring_index(a, ",", 1) == F.substring_index(b, ",", 1)
     return F.when(same, F.lit(1.0)).otherwise(part.cast("double"))
 
 
