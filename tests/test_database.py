@@ -97,3 +97,17 @@ def test_variants_find_themselves(spark, tmp_path, rows, options):
     assert same(db) == same(other)
     text = "".join(r.value for r in spark.read.text(f"{copy}/manifest").collect())
     assert "key" in json.loads(text) and KEY.hex() not in text
+
+
+def test_rerank_window_follows_the_scored_rows(spark, tmp_path, monkeypatch):
+    """The nearest of 3000 rows is at place 250 by codes: inside a tenth of the scored, outside 200."""
+    from vecloom.operators import pq
+
+    i = F.col("id").cast("double")
+    rows = spark.range(3000).select(F.col("id").alias("vec_id"), F.when(F.col("id") == 249, F.array(*map(F.lit, (1.0, 0.0, 0.0, 0.0)))).otherwise(F.array(F.sin(i) / 2, F.cos(i), F.sin(i * 2), F.lit(1.0))).alias("embedding"))
+    db = VectorDB(spark, str(tmp_path), Config(4, clusters=2, top_clusters=2, strategy="strict", pq_subspaces=2))
+    db.add(rows)
+    db.build()
+    monkeypatch.setattr(pq, "adc_scores", lambda tables, codes, pairs: pairs.withColumn("dist", F.col("vec_id").cast("double")))
+    q = spark.createDataFrame([(0, [1.0, 0.0, 0.0, 0.0])], "query_id long, embedding array<double>")
+    assert [r.vec_id for r in db.search(q, 1).collect()] == ["249"]

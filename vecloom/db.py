@@ -256,8 +256,7 @@ class VectorDB:
         if c.pq_subspaces:
             codes = self.spark.read.parquet(f"{self.index['folder']}/codes")
             near = pq.adc_scores(pq.distance_tables(q, self.pq_book), codes, fetched.select("query_id", "vec_id").distinct())
-            room = max(k * 20, 200)
-            best = top_k(near, room, "dist", ascending=True).select("query_id", "vec_id")
+            best = pq.shortlist(near, k).select("query_id", "vec_id")
             fetched = fetched.join(best, ["query_id", "vec_id"], "left_semi")
         plain = fetched.withColumn("v", crypt.bytes_to_vector(crypt.decrypt(F.col("ciphertext"), c.key, F.col("vec_id")))).where("v is not null")
         score = cosine(F.col("embedding"), F.col("v"))
