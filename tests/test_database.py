@@ -79,6 +79,61 @@ def test_changes_are_visible(spark, tmp_path, rows):
     assert s["clusters"] == 4 and abs(s["mean"] - 16) < 1e-9
 
 
+def test_refused_changes_leave_rows_alone(spark, tmp_path, rows):
+    db = make(spark, tmp_path)
+    db.add(rows)
+    with pytest.raises(errors.WrongDimension):
+        db.update(generate(spark, 3, 5).select("vec_id", "embedding"))
+    with pytest.raises(errors.NotFound):
+        db.update(rows.limit(1).withColumn("vec_id", F.lit("nobody")))
+    with pytest.raises(errors.RepeatedId):
+        db.add(rows.limit(2).withColumn("vec_id", F.lit("twice")))
+    assert db.count() == 60 and db.has("vec_1") and not db.has("twice")
+
+
+def test_nothing_plain_on_disk(spark, tmp_path, rows):
+    """No float of a vector and no word of the metadata is found in any file; padding is among the blobs and as long as they are."""
+    db = make(spark, tmp_path, padding="bucketed", pq_subspaces=2)
+    db.add(rows.withColumn("metadata", F.lit('{"secret": "zanzibar"}')))
+    db.build()
+    raw = b"".join(f.read_bytes() for f in (tmp_path / "db").rglob("*.parquet"))
+    import numpy as np
+
+    vectors = [np.asarray(r.embedding, "<f4").tobytes() for r in rows.collect()]
+    assert b"zanzibar" not in raw and not any(v in raw or v[:12] in raw for v in vectors)
+    sizes = {(r.a, r.b) for r in db.blobs.select(F.octet_length("ciphertext").alias("a"), F.octet_length("codes").alias("b")).distinct().collect()}
+    counts = [r["count"] for r in db.blobs.groupBy("bucket").count().collect()]
+    assert sizes == {(60, 32)} and all(n & (n - 1) == 0 for n in counts) and sum(counts) > 60 == db.stats()["blobs"]
+
+
+def test_only_buckets_asked_for_are_read(spark, tmp_path, rows):
+    """The plan prunes folders by bucket, does not decide about decoys before the fetch, and looks at changed ids only."""
+    db = make(spark, tmp_path, top_clusters=1, decoys=1, strategy="strict")
+    db.add(rows)
+    db.build()
+    q = ask(rows, ["vec_1"])
+    r = {x.real: x for x in db.reads(q).collect()}
+    assert r[True].buckets == r[False].buckets == 1 and r[False].blobs > 0
+    plan = db.search(q, 3)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CASE WHEN isnotnull(vec_id" in plan
+
+
+def test_maintenance_thread(spark, tmp_path, rows):
+    import time
+
+    from vecloom.streaming.ingest import Maintenance
+
+    db, seen = make(spark, tmp_path), []
+    m = Maintenance(db, 0.2, seen.append).start()
+    db.add(rows)
+    for _ in range(300):
+        if m.builds:
+            break
+        time.sleep(0.2)
+    m.stop()
+    assert m.builds >= 1 and db.state == "ready" and not seen
+
+
 @pytest.mark.parametrize("options", [{"pca_dimension": 4}, {"pq_subspaces": 4}, {"strategy": "gap"}, {"epsilon": 1.0, "bernoulli": True}, {"score_bits": 10, "padding": "max"}])
 def test_variants_find_themselves(spark, tmp_path, rows, options):
     db = make(spark, tmp_path, **options)

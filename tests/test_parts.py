@@ -89,3 +89,26 @@ def test_query_log(spark):
     log = spark.createDataFrame([(True, 4, 4, 10.0), (False, 4, 8, 20.0)], "real boolean, probed int, decoys int, ms double")
     assert tuple(privacy_metrics(log).first()) == (1, 1, 8, 12, 0.6, 15.0)
     assert tuple(privacy_metrics(log.limit(0)).first())[:2] == (0, 0)
+
+
+def test_unhurried_answers():
+    from vecloom.operators.query_log import unhurried
+
+    waits = []
+    assert unhurried(lambda x: x + 1, 5.0, 2.0, draw=lambda: 0.5, sleep=waits.append)(1) == 2
+    assert 5.9 < waits[0] <= 6.0
+
+
+def test_numbers_without_gaps(spark, tmp_path):
+    from vecloom.sources.datasets import numbered
+
+    rows = spark.range(100).repartition(7).select("id")
+    assert sorted(r.idx for r in numbered(rows).collect()) == list(range(100)) and numbered(rows.limit(0)).count() == 0
+
+
+def test_tenant_needs_its_key(spark, tmp_path):
+    from vecloom.tenants import Tenant
+
+    Tenant("t", 8).save(spark, str(tmp_path / "t"), bytes(32))
+    with pytest.raises(errors.InvalidConfig):
+        Tenant.load(spark, str(tmp_path / "t"), b"x" * 32)

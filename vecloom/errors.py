@@ -31,3 +31,7 @@ class InvalidConfig(VectorDBError):
 
 class AlreadyExists(VectorDBError):
     pass
+
+
+class RepeatedId(VectorDBError):
+    pass

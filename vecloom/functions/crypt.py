@@ -6,21 +6,51 @@ import hashlib
 import os
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .batches import with_column
 
-@F.pandas_udf(T.BinaryType())
-def vector_to_bytes(v: pd.Series) -> pd.Series:
+
+@F.arrow_udf(T.BinaryType())
+def vector_to_bytes(v: pa.Array) -> pa.Array:
     """Little-endian float32, four bytes an element."""
-    return v.map(lambda x: None if x is None else np.asarray(x, "<f4").tobytes())
+    return _packed(v, "<f4")
+
+
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def bytes_to_vector(b: pa.Array) -> pa.Array:
+    return _unpacked(b, "<f4", pa.float32())
+
+
+def with_bytes(rows: DataFrame, column: str, name: str, kind: str = "<f4") -> DataFrame:
+    """rows and, under name, the bytes of a list column's elements (kind: <f4 for vectors, <u2 for codes)."""
+    return with_column(rows, name, column, T.BinaryType(), lambda v: _packed(v, kind))
+
 
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def bytes_to_codes(b: pa.Array) -> pa.Array:
+    return _unpacked(b, "<u2", pa.int32())
 
-@F.pandas_udf(T.ArrayType(T.FloatType()))
-def bytes_to_vector(b: pd.Series) -> pd.Series:
-    return b.map(lambda x: None if x is None else np.frombuffer(x, "<f4"))
+
+def _packed(v: pa.Array, kind: str) -> pa.Array:
+    """The elements of each list as bytes; whole batches at a time."""
+    gone = np.asarray(v.is_null())
+    begin = v.offsets.to_numpy().astype(np.int64)
+    raw = v.values.to_numpy(zero_copy_only=False)[begin[0] : begin[-1]].astype(kind).tobytes()
+    at = (begin - begin[0]) * np.dtype(kind).itemsize
+    return pa.array([None if g else raw[a:b] for a, b, g in zip(at[:-1].tolist(), at[1:].tolist(), gone.tolist(), strict=True)], pa.binary())
+
+
+def _unpacked(b: pa.Array, kind: str, element: pa.DataType) -> pa.Array:
+    size = np.asarray(pa.compute.coalesce(pa.compute.binary_length(b), pa.scalar(0, pa.int32()))) // np.dtype(kind).itemsize
+    raw = b"".join(x for x in b.to_pylist() if x)
+    values = pa.array(np.frombuffer(raw, kind)).cast(element)
+    offsets = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, values, mask=b.is_null())
 
 
 def new_key() -> bytes:
@@ -50,3 +80,9 @@ def decrypt(data: Column, key: bytes, aad: Column) -> Column:
 def blob_size(dimension: int) -> int:
     """Bytes of an encrypted vector."""
     return 4 * dimension + 28
+
+
+def random_codes(subspaces: int) -> Column:
+    """Bytes as long as sealed codes, for rows that only pad (they have a blob_id)."""
+    raw = F.unhex(F.concat(F.sha2(F.concat("blob_id", F.lit("a")), 512), F.sha2(F.concat("blob_id", F.lit("b")), 512)))
+    return F.substring(F.concat(*[raw] * (1 + (2 * subspaces + 28) // 128)), 1, 2 * subspaces + 28)

@@ -46,6 +46,12 @@ def latest(rows: DataFrame) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
 
 
+def newest(rows: DataFrame, order: str) -> DataFrame:
+    """One row of each vec_id: the one with the largest `order`, and of equal ones the one with the largest vector."""
+    by = W.partitionBy("vec_id").orderBy(F.desc(order), F.desc("embedding"))
+    return rows.withColumn("_r", F.row_number().over(by)).where("_r = 1").drop("_r")
+
+
 def page(rows: DataFrame, offset: int, limit: int) -> DataFrame:
     """vec_id in order, from offset on."""
     return rows.select("vec_id").orderBy("vec_id").offset(offset).limit(limit)

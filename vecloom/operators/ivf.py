@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import cosine
-from .cluster import assign, centroid_scores, fit_kmeans
+from .cluster import assign, centroid_scores, fit_kmeans, held
 from .probe import gap, strict, threshold
 from .scan import top_k
 
 
-def probes(queries: DataFrame, centroids: DataFrame, least: int = 4, most: int = 8, strategy: str = "threshold", t: float = 0.95, multiplier: float = 2.0) -> DataFrame:
-    ranked = centroid_scores(queries, centroids)
+def probes(queries: DataFrame, centroids: DataFrame, least: int = 4, most: int = 8, strategy: str = "threshold", t: float = 0.95, multiplier: float = 2.0, ranked: DataFrame | None = None) -> DataFrame:
+    """query_id, cluster_id to look into; ranked: scores of another provider in place of plain ones."""
+    ranked = centroid_scores(queries, centroids) if ranked is None else ranked
     if strategy == "threshold":
         return threshold(ranked, least, most, t)
     if strategy == "gap":
@@ -20,15 +21,17 @@ def probes(queries: DataFrame, centroids: DataFrame, least: int = 4, most: int =
     return strict(ranked, least)
 
 
-def search(queries: DataFrame, rows: DataFrame, assigned: DataFrame, probed: DataFrame, k: int = 10, replicas: int = 1) -> DataFrame:
+def search(queries: DataFrame, stored: DataFrame, probed: DataFrame, k: int = 10, replicas: int = 1) -> DataFrame:
     """query_id, vec_id, score, rank: best k over the probed clusters; a vector in several of them counts once.
 
-    rows: vec_id, embedding. assigned: vec_id, cluster_id, at most `replicas` rows a vector. Pairs are scored where
-    they meet; only the best k * replicas of each query and task are shuffled on.
+    stored: vec_id, embedding, cluster_id, at most `replicas` rows a vector, so embeddings meet queries without a
+    shuffle by id. Pairs are scored where they meet; only the best k * replicas of each query and task are shuffled on.
+    Where probed has a column `real`, rows that decoys brought are dropped after they were read.
     """
     q = queries.select("query_id", F.col("embedding").alias("q"))
-    stored = rows.select("vec_id", "embedding").join(assigned.select("vec_id", "cluster_id"), "vec_id")
-    met = stored.join(probed.join(q, "query_id"), "cluster_id")
+    met = stored.select("vec_id", "embedding", "cluster_id").join(probed.join(q, "query_id"), "cluster_id")
+    if "real" in probed.columns:
+        met = met.where(F.when(F.col("vec_id").isNotNull(), F.col("real")))
     scored = met.select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
     if replicas > 1:
         scored = top_k(scored, k * replicas).drop("rank").distinct()
@@ -36,6 +39,6 @@ def search(queries: DataFrame, rows: DataFrame, assigned: DataFrame, probed: Dat
 
 
 def build(rows: DataFrame, clusters: int, replicas: int = 1, seed: int = 42, sample: float | None = None) -> tuple[DataFrame, DataFrame]:
-    """(centroids, assignments). The centroids may be fitted on a share of the rows; every row is assigned."""
+    """(centroids, rows with their embedding and cluster). The centroids may be fitted on a share of the rows; every row is assigned."""
     centroids, _ = fit_kmeans(rows if sample is None else rows.sample(sample, seed), clusters, seed)
-    return centroids, assign(rows, centroids, replicas)
+    return held(centroids), assign(rows, centroids, replicas, keep=("embedding",))

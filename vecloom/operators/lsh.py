@@ -29,6 +29,22 @@ def sign(rows: DataFrame, planes: list[list[float]], id_column: str = "vec_id")
     return rows.select(id_column, hyperplane_signature(F.col("embedding"), planes).alias("sig"))
 
 
+def sign_wide(rows: DataFrame, planes: list[list[float]], id_column: str = "vec_id", bits: int = 32) -> DataFrame:
+    """Signatures of any width: `words`, an array of longs with `bits` planes each, least significant bit first."""
+    parts = [hyperplane_signature(F.col("embedding"), planes[i : i + bits]) for i in range(0, len(planes), bits)]
+    return rows.select(id_column, F.array(*parts).alias("words"))
+
+
+def hamming_wide(queries: DataFrame, signed: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, hamming, rank over word arrays (sign_wide); queries in blocks."""
+
+    def distance(words: list, q: np.ndarray) -> np.ndarray:
+        w = np.array(words, np.int64).view(np.uint64)
+        return sum(np.bitwise_count(w[:, None, i] ^ q.astype(np.int64).view(np.uint64)[None, :, i]).astype(np.float64) for i in range(w.shape[1]))
+
+    return block_scan(queries, signed, "words", distance, k, "hamming", True, T.IntegerType())
+
+
 def bucket(sig: Column, buckets: int) -> Column:
     return F.pmod(sig, F.lit(buckets)).cast("int")
 

@@ -66,16 +66,16 @@ def _sub(v: Column, cs: Column, m: Column) -> Column:
     return F.slice(as_double(v), m * width + 1, width)
 
 
-def encode(rows: DataFrame, codebook: DataFrame) -> DataFrame:
-    """vec_id, codes: the nearest code of each subspace; ties to the smaller code. No shuffle of rows."""
-    wide = rows.select("vec_id", "embedding").join(F.broadcast(_book(codebook)))
+def encode(rows: DataFrame, codebook: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """vec_id, kept columns, codes: the nearest code of each subspace; ties to the smaller code. No shuffle of rows."""
+    wide = rows.select("vec_id", *dict.fromkeys(("embedding", *keep))).join(F.broadcast(_book(codebook)))
 
     def nearest(cs, m):
         part = _sub(F.col("embedding"), cs, m)
         ranked = F.transform(cs, lambda c, j: F.struct(F.round(l2sq(part, c), 9).alias("d"), j.alias("code")))
         return F.array_min(ranked)["code"]
 
-    return wide.select("vec_id", F.transform("book", nearest).alias("codes"))
+    return wide.select("vec_id", *keep, F.transform("book", nearest).alias("codes"))
 
 
 def distance_tables(queries: DataFrame, codebook: DataFrame) -> DataFrame:
@@ -91,12 +91,14 @@ def decode(encoded: DataFrame, codebook: DataFrame) -> DataFrame:
 
 
 def adc_scores(tables: DataFrame, encoded: DataFrame, pairs: DataFrame | None = None) -> DataFrame:
-    """query_id, vec_id, dist from the tables, for all codes or for candidate pairs only.
+    """query_id, vec_id, dist from the tables, for all codes, or for candidate pairs only; codes that have their query_id already are not joined.
 
     Tables meet all codes TABLE_BLOCK queries at a time, which bounds what is broadcast.
     """
     total = F.aggregate(F.transform("codes", lambda c, m: F.get(F.get(F.col("adc"), m), c)), F.lit(0.0), lambda s, x: s + x)
     pick = lambda df: df.select("query_id", "vec_id", F.round(total, 6).alias("dist"))
+    if "query_id" in encoded.columns:
+        return pick(encoded.join(tables, "query_id"))
     if pairs is not None:
         return pick(pairs.join(encoded, "vec_id").join(tables, "query_id"))
     parts = max(1, -(-tables.count() // TABLE_BLOCK))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -60,12 +60,39 @@ def padding_targets(counts: DataFrame, mode: str = "bucketed") -> DataFrame:
     return counts.withColumn("target", power.cast("long"))
 
 
+def random_bytes(size: int) -> Column:
+    """So many bytes that look like any ciphertext: hashes of a fresh random id."""
+    parts = F.transform(F.sequence(F.lit(1), F.lit(-(-size // 32))), lambda i: F.sha2(F.concat("_draw", i.cast("string")), 256))
+    return F.substring(F.unhex(F.array_join(parts, "")), 1, size)
+
+
 def padding(counts: DataFrame, dimension: int, mode: str = "bucketed") -> DataFrame:
     """bucket, blob_id, ciphertext: random rows that bring each bucket to its target; they never decrypt."""
     short = padding_targets(counts, mode).where(F.col("target") > F.col("n"))
     each = short.select("bucket", F.explode(F.sequence(F.lit(1).cast("long"), F.col("target") - F.col("n"))))
-    noise = F.randstr(F.lit(blob_size(dimension)))
-    return each.select("bucket", F.sha2(F.concat(F.uuid(), F.uuid()), 256).alias("blob_id"), noise.cast("binary").alias("ciphertext"))
+    drawn = each.select("bucket", F.concat(F.uuid(), F.uuid()).alias("_draw"))
+    return drawn.select("bucket", F.sha2("_draw", 256).alias("blob_id"), random_bytes(blob_size(dimension)).alias("ciphertext"))
+
+
+def existing_decoys(probed: DataFrame, buckets: DataFrame, count: int, by: str = "cluster_id", seed: int = 1) -> DataFrame:
+    """query_id and bucket: `count` buckets that hold rows and that the query does not ask for, in a seeded order."""
+    rest = probed.select("query_id").distinct().join(buckets.select(by).distinct()).join(probed.select("query_id", by), ["query_id", by], "left_anti")
+    order = W.partitionBy("query_id").orderBy(F.xxhash64("query_id", by, F.lit(seed)), by)
+    return rest.withColumn("r", F.row_number().over(order)).where(F.col("r") <= count).select("query_id", by)
+
+
+def drawn_decoys(probed: DataFrame, supers: int, subs: int, count: int, seed: int = 1) -> DataFrame:
+    """query_id, super, sub: `count` draws with replacement among super-buckets that the query does not probe."""
+    taken = probed.groupBy("query_id").agg(F.collect_set("super").alias("taken"))
+    rest = taken.select("query_id", F.array_except(F.sequence(F.lit(0), F.lit(supers - 1)), "taken").alias("rest")).where(F.size("rest") > 0)
+    each = rest.select("query_id", "rest", F.explode(F.sequence(F.lit(1), F.lit(count))).alias("i")) if count > 0 else rest.select("query_id", "rest", F.lit(0).alias("i")).limit(0)
+    draw = lambda salt, n: F.pmod(F.xxhash64("query_id", "i", F.lit(seed + salt)), n).cast("int")
+    return each.select("query_id", F.get("rest", draw(0, F.size("rest"))).alias("super"), draw(1, F.lit(subs)).alias("sub"))
+
+
+def shuffled(rows: DataFrame, seed: int | None = None) -> DataFrame:
+    """The same rows in random order, so that order tells nothing about what is real."""
+    return rows.orderBy(F.rand(seed))
 
 
 def epsilon_table(spark: SparkSession, cases: list[tuple[int, int, float]]) -> DataFrame:

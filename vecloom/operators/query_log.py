@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import random
+import time
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,3 +30,15 @@ def privacy_metrics(log: DataFrame) -> DataFrame:
         F.count_if("real").alias("real"), F.count_if(~F.col("real")).alias("dummies"), F.sum("probed").alias("probed"), F.sum("decoys").alias("decoys"),
         F.try_divide(F.sum("decoys"), F.sum(F.col("probed") + F.col("decoys"))).alias("decoy_share"), F.avg("ms").alias("mean_ms"),
     )
+
+
+def unhurried(search: Callable, least: float, jitter: float = 0.0, draw: Callable[[], float] = random.SystemRandom().random, sleep: Callable[[float], None] = time.sleep):
+    """search with answers that come no sooner than `least` seconds, plus up to `jitter` more, so that its time tells little."""
+
+    def run(*args, **options):
+        begun = time.monotonic()
+        out = search(*args, **options)
+        sleep(max(0.0, least - (time.monotonic() - begun)) + jitter * draw())
+        return out
+
+    return run

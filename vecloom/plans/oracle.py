@@ -50,6 +50,31 @@ near AS (SELECT query_id, codes.vec_id, round(sum(d), 6) AS dist FROM codes JOIN
 SIZES = "sizes AS (SELECT cluster_id, count(near.vec_id) AS n FROM cent LEFT JOIN (SELECT * FROM near WHERE r = 1) near USING (cluster_id) GROUP BY 1)"
 TEXT_IDS = "vec_id, label, round(embedding[1]::DOUBLE, 6) AS first"
 
+HAMMING = f"WITH {SIG} " + top("SELECT query_id, vec_id, bit_count(xor(qsig, sig))::INT AS hamming FROM qs, sig", by="hamming")
+
+
+def ids(source: str, k: int = 10) -> str:
+    """The best k by score, without scores."""
+    return f"SELECT query_id, vec_id, rank FROM ({top(source, k)})"
+
+
+def bits(begin: int, n: int) -> str:
+    """vec_id, sig: n bits from plane `begin` on."""
+    return f"""SELECT vec_id, sum(CASE WHEN round({D.format(a='embedding', b=PLANE)}, 9) > 0 THEN 1::BIGINT << (i - {begin}) ELSE 0 END)::BIGINT AS sig
+    FROM (SELECT vec_id, unnest(range({begin}, {begin + n})) AS i, embedding FROM embeddings) GROUP BY 1"""
+
+
+#: Every id whose left neighbour's id is divisible by three has that neighbour's vector.
+SWAPPED = "moved AS (SELECT b.vec_id, coalesce(a.embedding, b.embedding) AS embedding, a.vec_id AS other FROM embeddings b LEFT JOIN embeddings a ON a.vec_id + 1 = b.vec_id AND a.vec_id % 3 = 0)"
+SIX = f"six AS ({bits(0, 6)}), place AS (SELECT vec_id, sig::INT AS bucket FROM six)"
+FLIPPED = "SELECT q.vec_id AS query_id, p.vec_id FROM place q JOIN place p ON p.bucket = q.bucket OR xor(p.bucket, q.bucket) IN (1, 2, 4, 8) WHERE q.vec_id % 50 = 0"
+TWO = f"""sup AS ({bits(0, 6)}), low AS ({bits(16, 6)}),
+place AS (SELECT sup.vec_id, (sup.sig % 8)::INT AS super, (low.sig % 4)::INT AS sub FROM sup JOIN low USING (vec_id))"""
+SUPER = f"""el AS (SELECT super, i, avg(embedding[i + 1]::DOUBLE) AS m FROM (SELECT super, embedding, unnest(range(64)) AS i FROM place JOIN embeddings USING (vec_id)) GROUP BY 1, 2),
+raw AS (SELECT super, list(m ORDER BY i) AS c FROM el GROUP BY 1),
+cs AS (SELECT super, list_transform(c, lambda x: x / sqrt(list_inner_product(c, c))) AS c FROM raw),
+best AS (SELECT query_id, super FROM (SELECT query_id, super, row_number() OVER (PARTITION BY query_id ORDER BY round({D.format(a='q', b='c')}, 6) DESC, super) AS r FROM q, cs) WHERE r <= 3)"""
+
 ORACLE_SQL = {
     "brute_cosine_topk": f"WITH {Q} {top(BRUTE)}",
     "brute_l2_topk": f"WITH {Q} " + top(f"SELECT query_id, vec_id, round({L2.format(a='q', b='embedding')}, 6) AS score FROM q, embeddings", by="score"),
@@ -97,7 +122,8 @@ ORACLE_SQL = {
     "lsh_hamming_topk": f"WITH {SIG} " + top("SELECT query_id, vec_id, bit_count(xor(qsig, sig))::INT AS hamming FROM qs, sig", by="hamming"),
     "lsh_multiprobe": f"WITH {SIG} SELECT DISTINCT query_id, vec_id FROM qs, sig WHERE sig = qsig OR xor(sig, qsig) IN (1, 2, 4, 8)",
     "lsh_two_stage": f"WITH {Q}, {SIG} , c AS (" + top("SELECT query_id, vec_id, bit_count(xor(qsig, sig))::INT AS hamming FROM qs, sig", 200, "hamming") + ") " + top(scored("SELECT query_id, vec_id FROM c")),
-    "lsh_masked_distance": f"WITH {SIG} SELECT query_id, vec_id, bit_count(xor(qsig, sig))::INT AS hamming FROM qs, sig WHERE vec_id = query_id + 1",
+    "lsh_masked_distance": HAMMING,
+    "lsh_key_rotation": HAMMING,
     "pq_encode": f"WITH {BOOK}, {CODES} SELECT vec_id, m, code FROM codes",
     "pq_adc_topk": f"WITH {BOOK}, {CODES}, {ADC} " + top("SELECT query_id, vec_id, dist FROM near", by="dist"),
     "pq_rerank_topk": f"WITH {Q}, {BOOK}, {CODES}, {ADC}, c AS (" + top("SELECT query_id, vec_id, dist FROM near", 200, "dist") + ") " + top(scored("SELECT query_id, vec_id FROM c")),
@@ -107,4 +133,53 @@ ORACLE_SQL = {
     "latency_percentiles": "SELECT avg(value) AS avg, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.95) AS p95, quantile_cont(value, 0.99) AS p99, min(value) AS least, max(value) AS most FROM events",
     "dataset_stats": "SELECT count(*) AS vectors, max(len(embedding))::INT AS dimension FROM embeddings",
     "score_precision": f"WITH {Q}, {CENT} SELECT query_id, cluster_id, round({D.format(a='q', b='centroid')} * 1024) / 1024 AS score FROM q, cent",
+    "database_search": f"WITH {Q} " + ids(BRUTE + " WHERE vec_id % 7 <> 1"),
+    "update_then_search": f"WITH {Q}, {SWAPPED} " + ids(f"SELECT query_id, vec_id, {COS.format(a='q', b='embedding')} AS score FROM q, moved"),
+    "reopen_then_delete": "SELECT vec_id FROM embeddings WHERE (vec_id % 5 <> 1 OR vec_id % 10 = 1) AND vec_id % 5 <> 2",
+    "sealed_roundtrip": "SELECT vec_id, 284 AS bytes, true AS same, '{\"label\":' || label || '}' AS metadata, true AS sealed FROM embeddings",
+    "decoy_reads": f"WITH {Q} SELECT query_id, 16::BIGINT AS buckets, 4::BIGINT AS probed, (SELECT count(*) FROM embeddings) AS blobs FROM q",
+    "rebuild_compacts": "SELECT vec_id, (CASE WHEN vec_id % 4 = 1 THEN 3 ELSE 1 END)::BIGINT AS version, label FROM embeddings WHERE vec_id % 4 <> 0",
+    "database_where_pre": f"WITH {Q} " + ids(BRUTE + " WHERE label = 3"),
+    "database_where_post": f"WITH {Q}, wide AS ({top(BRUTE, 50)}) " + ids("SELECT query_id, vec_id, score FROM wide JOIN embeddings USING (vec_id) WHERE label = 3"),
+    "database_hidden_after": f"WITH {Q} SELECT * FROM ({ids(BRUTE)}) WHERE vec_id % 3 <> 0",
+    "database_stats": """SELECT 'ready' AS state, n - (SELECT count(*) FROM embeddings WHERE vec_id % 5 = 0) AS vectors, 64 AS dimension, 2::BIGINT AS version, 1::BIGINT AS changes,
+        2 * (n - (SELECT count(*) FROM embeddings WHERE vec_id % 5 = 0)) AS blobs, 16 AS clusters, true AS has_1, false AS has_5, false AS has_nobody, 64 AS width, true AS labelled
+        FROM (SELECT count(*) AS n FROM embeddings)""",
+    "save_load_consistency": f"WITH {Q} SELECT query_id, 10::BIGINT AS results, 10::BIGINT AS same FROM q",
+    "stream_ingest": "SELECT vec_id AS query_id, vec_id FROM embeddings WHERE vec_id % 2 = 1",
+    "stream_again": f"WITH {SWAPPED} SELECT m.vec_id, (CASE WHEN m.vec_id % 6 = 5 THEN 2 ELSE 1 END)::BIGINT AS version, round((CASE WHEN m.vec_id % 6 = 5 THEN e.embedding[1] ELSE m.embedding[1] END)::DOUBLE, 6) AS first FROM moved m JOIN embeddings e USING (vec_id)",
+    "two_level_search": f"WITH {Q}, {TWO}, {SUPER} " + top(scored("SELECT DISTINCT query_id, p.vec_id FROM best JOIN place o ON o.vec_id = best.query_id JOIN place p ON p.super = best.super AND (p.sub = o.sub OR p.sub = (o.sub + 1) % 4)")),
+    "super_bucket_scan": f"WITH {TWO} SELECT vec_id, super, sub FROM place WHERE super IN (1, 5)",
+    "bucket_search": f"WITH {Q}, {SIX} " + top(scored(FLIPPED)),
+    "hybrid_search": f"WITH {Q}, {SIX}, coarse AS (" + top(scored(FLIPPED), 20) + ") " + top("SELECT query_id, vec_id, round(score * 1024) / 1024 AS score FROM coarse", by="score DESC, vec_id::VARCHAR"),
+    "bucket_dml": f"WITH {SIX} SELECT bucket, count(*) AS n, (284 * count(*))::BIGINT AS bytes FROM place WHERE vec_id % 7 <> 0 GROUP BY 1",
+    "blob_table": """SELECT vec_id, 'bucket' AS kind, label AS bucket FROM embeddings WHERE vec_id % 4 <> 0 AND (label IN (1, 2, 3) OR label > 6)
+        UNION ALL SELECT vec_id, 'point', CASE WHEN vec_id % 4 <> 0 THEN label END FROM embeddings WHERE vec_id % 50 = 0""",
+    "lsh_index_crud": f"WITH {SIG}, {SWAPPED} SELECT m.vec_id, s.sig FROM moved m JOIN sig s ON s.vec_id = coalesce(m.other, m.vec_id) WHERE m.vec_id % 9 <> 0",
+    "lsh_wide_topk":
+        "WITH " + ", ".join(f"w{j} AS ({bits(32 * j, 32)})" for j in range(4)) + ", w AS (SELECT vec_id, w0.sig AS a, w1.sig AS b, w2.sig AS c, w3.sig AS d FROM w0 JOIN w1 USING (vec_id) JOIN w2 USING (vec_id) JOIN w3 USING (vec_id)) "
+        + top("SELECT q.vec_id AS query_id, w.vec_id, (" + " + ".join(f"bit_count(xor(q.{x}, w.{x}))::INT" for x in "abcd") + ")::INT AS hamming FROM w q, w WHERE q.vec_id % 50 = 0", by="hamming"),
+    "lsh_bucket": f"WITH {SIG} SELECT vec_id, (sig % 10)::INT AS bucket FROM sig",
+    "lsh_neighbour_buckets": f"WITH {SIG} SELECT vec_id, ((sig + unnest(range(3))) % 10)::INT AS bucket FROM sig",
+    "lsh_bucket_centroids": f"""WITH {SIX}, dealt AS (SELECT vec_id, (bucket % 8)::INT AS bucket FROM place), n AS (SELECT bucket, count(*) AS n FROM dealt GROUP BY 1),
+        el AS (SELECT bucket, i, avg(embedding[i + 1]::DOUBLE) AS m FROM (SELECT bucket, embedding, unnest(range(64)) AS i FROM dealt JOIN embeddings USING (vec_id)) GROUP BY 1, 2),
+        len AS (SELECT bucket, sqrt(sum(m * m)) AS len FROM el GROUP BY 1)
+        SELECT bucket, n, i AS pos, round(m / len, 6) AS m FROM el JOIN len USING (bucket) JOIN n USING (bucket)""",
+    "fvecs_roundtrip": f"SELECT row_number() OVER (ORDER BY vec_id) - 1 AS idx, 64 AS dimension, round(sqrt({D.format(a='embedding', b='embedding')}), 6) AS norm, embedding[6]::DOUBLE AS sixth FROM embeddings",
+    "ivecs_ground_truth": f"WITH {Q} " + ids(BRUTE),
+    "bvecs_roundtrip": "SELECT row_number() OVER (ORDER BY vec_id) - 1 AS idx, list_sum(list_transform(embedding, lambda x: floor((x::DOUBLE + 1) * 100))) AS total FROM embeddings",
+    "glove_text": "SELECT 'w' || vec_id AS word, 64 AS dimension, round(embedding[1]::DOUBLE, 4) AS first FROM embeddings",
+    "dataset_subset": "SELECT 100::BIGINT AS vectors, 64 AS dimension",
+    "json_bootstrap": "SELECT vec_id, label, 64 AS dimension FROM embeddings",
+    "generated_vectors": "SELECT range AS idx, 'vec_' || range AS vec_id, 16 AS dimension, 1.0::DOUBLE AS norm FROM range(1000)",
+    "sql_functions": f"""SELECT a.vec_id, round({D.format(a='a.embedding', b='b.embedding')}, 6) AS dot, round({L2.format(a='a.embedding', b='b.embedding')}, 6) AS l2,
+        {COS.format(a='a.embedding', b='b.embedding')} AS cos, bit_count(xor(a.vec_id, b.vec_id))::INT AS ham FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""",
+    "privacy_log": """SELECT count(*) FILTER (event_id % 3 > 0) AS real, count(*) FILTER (event_id % 3 = 0) AS dummies, (4 * count(*))::BIGINT AS probed, sum(event_id % 5)::BIGINT AS decoys,
+        round(sum(event_id % 5) / sum(4 + event_id % 5), 6) AS decoy_share, round(avg(value), 6) AS mean_ms FROM events""",
+    "decoy_counts": f"WITH {Q} SELECT query_id, 2::BIGINT AS decoys, 0::BIGINT AS probed_too FROM q",
+    "bernoulli_decoys_outside": f"{THRESHOLD} SELECT query_id, (SELECT count(*) FROM cent) - count(*) AS decoys FROM pr GROUP BY 1",
+    "weighted_pick": f"""WITH {CENT}, {DIST}, d AS (SELECT vec_id, min(dist) AS d FROM dist WHERE cluster_id < 2 GROUP BY 1),
+        r AS (SELECT vec_id, sum(d) OVER (ORDER BY vec_id) AS run, sum(d) OVER () AS total FROM d) SELECT min(vec_id) AS vec_id FROM r WHERE run >= 0.4::DOUBLE * total - 1e-9""",
+    "shuffled_ids": "SELECT vec_id FROM embeddings",
+    "tenant_settings": "SELECT * FROM (VALUES ('acme', 64, 16, '2', true), ('acme', 64, 32, '2', true)) t(name, dimension, clusters, tier, same_key)",
 }

@@ -5,18 +5,28 @@ Searches take every row whose id is divisible by 50 as a query, against all rows
 
 from __future__ import annotations
 
+import tempfile
 import uuid
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..db import Config, VectorDB
+from ..errors import VectorDBError
 from ..functions import crypt
-from ..functions.vectors import as_double, grid, hamming, norm, normalize
+from ..functions.vectors import as_double, grid, norm, normalize, register_functions
 from ..operators import cluster, filters, ivf, lsh, metrics, pca, pq, privacy
+from ..operators.blobs import BlobTable
+from ..operators.hierarchical import BucketIndex, TwoLevelIndex, bucket_key, parse_key
+from ..operators.lsh_index import LshIndex
 from ..operators.probe import gap, strict, threshold
+from ..operators.query_log import privacy_metrics
 from ..operators.scan import exact_search, top_k
+from ..sources.datasets import bootstrap, from_parquet, generate, glove
+from ..sources.vecfiles import ground_truth, read_vecs, write_vecs
 from ..streaming.ingest import ingest
+from ..tenants import Tenant, rotated, session_key
 from .oracle import ORACLE_SQL  # noqa: F401
 
 KEY = bytes(range(32))
@@ -29,13 +39,16 @@ class Tables:
         self.spark, self.dir = spark, sf_dir
         self.base = self.read("embeddings")
         self.queries = self.base.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-        self.centroids = cluster.mean_vectors(self.base, "label").withColumnRenamed("label", "cluster_id")
+
+    @cached_property
+    def centroids(self) -> DataFrame:
+        return cluster.held(cluster.mean_vectors(self.base, "label").withColumnRenamed("label", "cluster_id"))
 
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
-    def assigned(self, nearest: int = 1) -> DataFrame:
-        return cluster.assign(self.base, self.centroids, nearest)
+    def assigned(self, nearest: int = 1, keep: tuple[str, ...] = ()) -> DataFrame:
+        return cluster.assign(self.base, self.centroids, nearest, keep)
 
     def ranked(self) -> DataFrame:
         return cluster.centroid_scores(self.queries, self.centroids)
@@ -44,17 +57,17 @@ class Tables:
         return threshold(self.ranked(), 3, 6, 0.95)
 
     def search(self, probed: DataFrame, nearest: int = 1) -> DataFrame:
-        return ivf.search(self.queries, self.base, self.assigned(nearest), probed, replicas=nearest)
+        return ivf.search(self.queries, self.assigned(nearest, ("embedding",)), probed, replicas=nearest)
 
     def scratch(self) -> str:
         """A new folder among those that all executors share."""
         sc = self.spark.sparkContext
+        if sc._jsc.sc().getCheckpointDir().isEmpty():
+            place = self.spark.conf.get("spark.checkpoint.dir", None)
+            if place is None and not sc.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            sc.setCheckpointDir(place or tempfile.mkdtemp(prefix="vecloom-"))
         folder = sc._jsc.sc().getCheckpointDir()
-        if folder.isEmpty():
-            import tempfile
-
-            sc.setCheckpointDir(self.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vecloom-"))
-            folder = sc._jsc.sc().getCheckpointDir()
         return f"{folder.get()}/query-{uuid.uuid4().hex}"
 
     def planes(self) -> list[list[float]]:
@@ -65,6 +78,7 @@ class Tables:
         return lsh.sign(self.queries, self.planes(), "query_id"), rows
 
     def book(self) -> DataFrame:
+        """A codebook that SQL can name too: the parts of the first 16 vectors. pq.train fits one; pq_trained_recall uses it."""
         parts = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda m: F.slice(as_double(F.col("embedding")), m * 8 + 1, F.lit(8)))
         return self.base.where("vec_id < 16").select(F.col("vec_id").cast("int").alias("code"), F.posexplode(parts).alias("m", "centroid"))
 
@@ -107,22 +121,21 @@ def _post(t: Tables) -> DataFrame:
 def _permuted(t: Tables) -> DataFrame:
     """Probes and rows meet on permuted buckets."""
     pi = privacy.permutation(t.centroids)
-    probed, assigned = (privacy.to_storage(x, pi).drop("cluster_id").withColumnRenamed("bucket", "cluster_id") for x in (t.probes(), t.assigned()))
-    return ivf.search(t.queries, t.base, assigned, probed)
+    probed, stored = (privacy.to_storage(x, pi).drop("cluster_id").withColumnRenamed("bucket", "cluster_id") for x in (t.probes(), t.assigned(1, ("embedding",))))
+    return ivf.search(t.queries, stored, probed)
 
 
 def _decoys(t: Tables) -> DataFrame:
-    """Decoy buckets are fetched and dropped before scoring."""
+    """Decoy buckets are read like the others; their rows are dropped after the read, before scoring."""
     probed = t.probes()
     asked = probed.withColumn("real", F.lit(True)).unionByName(privacy.uniform_decoys(probed, t.centroids, 2).withColumn("real", F.lit(False)))
-    return t.search(asked.where("real").select("query_id", "cluster_id"))
+    return t.search(asked)
 
 
 def _masked(t: Tables) -> DataFrame:
     q, rows = t.signed()
-    hidden = rows.select("vec_id", lsh.mask(F.col("sig"), 0x5A5A).alias("sig"))
-    pairs = q.select("query_id", lsh.mask(F.col("sig"), 0x5A5A).alias("qsig")).join(hidden, F.col("vec_id") == F.col("query_id") + 1)
-    return pairs.select("query_id", "vec_id", hamming(F.col("qsig"), F.col("sig")).alias("hamming"))
+    hidden = lambda df: df.withColumn("sig", lsh.mask(F.col("sig"), 0x5A5A))
+    return lsh.hamming_candidates(hidden(q), hidden(rows), 10)
 
 
 def _adc(t: Tables, k: int = 10) -> DataFrame:
@@ -145,19 +158,101 @@ def _ivf_index(t: Tables) -> DataFrame:
     centroids, assigned = ivf.build(t.base.select("vec_id", "embedding"), 16)
     truth, out = exact_search(t.queries, t.base, 10).cache(), None
     for n in (4, 8, 14):
-        found = ivf.search(t.queries, t.base, assigned, ivf.probes(t.queries, centroids, n, strategy="strict"))
+        found = ivf.search(t.queries, assigned, ivf.probes(t.queries, centroids, n, strategy="strict"))
         one = metrics.recall(found, truth, 10).agg(F.round(F.avg("recall"), 4).alias("recall")).select(F.lit(n).alias("probes"), "recall")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def _database(t: Tables) -> DataFrame:
-    """Add, build, delete, update and search through the database."""
-    db = t.db(replicas=2)
-    db.add(t.base.select("vec_id", "embedding", F.to_json(F.struct("label")).alias("metadata")))
+def _ids(found: DataFrame) -> DataFrame:
+    """Ids as they are in the table; scores of sealed vectors are of single precision and left out."""
+    return found.select("query_id", F.col("vec_id").cast("long").alias("vec_id"), "rank")
+
+
+def _labelled(t: Tables) -> DataFrame:
+    return t.base.select("vec_id", "embedding", F.to_json(F.struct("label")).alias("metadata"))
+
+
+def _built(t: Tables, **options) -> VectorDB:
+    """A database of all rows in which every cluster is probed, so that results are those of the exact scan."""
+    db = t.db(**{"top_clusters": 16, "decoys": 0} | options)
+    db.add(_labelled(t))
     db.build()
+    return db
+
+
+def _database(t: Tables) -> DataFrame:
+    """Add, build, delete and search through the database."""
+    db = _built(t, replicas=2)
     db.delete(t.base.where("vec_id % 7 = 1").select("vec_id"))
-    return db.search(t.queries, 10)
+    return _ids(db.search(t.queries, 10))
+
+
+def _updated(t: Tables) -> DataFrame:
+    """Every third vector takes the place of its neighbour's; refused updates before that change nothing."""
+    db = _built(t)
+    for bad in (t.base.select("vec_id", F.slice("embedding", 1, 3).alias("embedding")), t.base.select((-F.col("vec_id") - 1).alias("vec_id"), "embedding")):
+        try:
+            db.update(bad)
+        except VectorDBError:
+            continue
+    db.update(_swapped(t))
+    return _ids(db.search(t.queries, 10))
+
+
+def _swapped(t: Tables) -> DataFrame:
+    other = t.base.where("vec_id % 3 = 0").select((F.col("vec_id") + 1).alias("vec_id"), "embedding")
+    return other.join(t.base.select("vec_id"), "vec_id", "left_semi")
+
+
+def _reopened(t: Tables) -> DataFrame:
+    """Deleted, opened again by its path, added again: versions go on, and a rebuild keeps what is live."""
+    db = t.db(top_clusters=16)
+    db.add(t.base.select("vec_id", "embedding"))
+    db.delete(t.base.where("vec_id % 5 = 1").select("vec_id"))
+    db = VectorDB(t.spark, db.path, db.config)
+    db.add(t.base.where("vec_id % 10 = 1").select("vec_id", "embedding"))
+    db.build()
+    db.delete(t.base.where("vec_id % 5 = 2").select("vec_id"))
+    return db._live_ids().select(F.col("vec_id").cast("long").alias("vec_id"))
+
+
+def _sealed_roundtrip(t: Tables) -> DataFrame:
+    """What lies on disk is as long as a sealed vector, and gives back vector and metadata under the key alone."""
+    db = t.db()
+    db.add(_labelled(t))
+    opened = db.vectors.select("vec_id", F.col("embedding").alias("back"))
+    other = VectorDB(t.spark, db.path, Config(64, clusters=16, key=bytes(32))).vectors.select("vec_id", F.lit(1).alias("leak"))
+    rows = db._rows.select("vec_id", F.octet_length("ciphertext").alias("bytes")).join(opened, "vec_id").join(other, "vec_id", "left").join(db.metadata_table(), "vec_id")
+    same = t.base.select(F.col("vec_id").cast("string").alias("vec_id"), "embedding").join(rows, "vec_id")
+    return same.select(F.col("vec_id").cast("long").alias("vec_id"), "bytes", (F.col("back") == F.col("embedding")).alias("same"), "metadata", F.col("leak").isNull().alias("sealed"))
+
+
+def _decoy_reads(t: Tables) -> DataFrame:
+    """Fetched rows of each query, probed and decoys: with as many decoys as there are clusters left, a search reads all rows."""
+    db = _built(t, top_clusters=4, decoys=12, strategy="strict")
+    return db.reads(t.queries).groupBy("query_id").agg(F.sum("buckets").alias("buckets"), F.sum(F.when(F.col("real"), F.col("buckets"))).alias("probed"), F.sum("blobs").alias("blobs"))
+
+
+def _compacted(t: Tables) -> DataFrame:
+    """Rows on disk after a rebuild: one live version of each id, and no metadata of deleted ids."""
+    db = _built(t)
+    db.delete(t.base.where("vec_id % 4 = 0").select("vec_id"))
+    db.add(t.base.where("vec_id % 4 = 1").select("vec_id", "embedding"))
+    db.rebuild()
+    label = F.get_json_object("m", "$.label").cast("int").alias("label")
+    return db._rows.join(db.metadata_table().withColumnRenamed("metadata", "m"), "vec_id").select(F.col("vec_id").cast("long").alias("vec_id"), "version", label)
+
+
+def _where(t: Tables, before: bool) -> DataFrame:
+    return _ids(_built(t).search_where(t.queries, {"label": 3}, 10, before))
+
+
+def _hidden_after(t: Tables) -> DataFrame:
+    """Deleted rows leave after the best ten are taken, so fewer may be left."""
+    db = _built(t)
+    db.delete(t.base.where("vec_id % 3 = 0").select("vec_id"))
+    return _ids(db.search(t.queries, 10, hidden_after=True))
 
 
 def _saved(t: Tables) -> DataFrame:
@@ -181,8 +276,176 @@ def _streamed(t: Tables) -> DataFrame:
     t.base.where("vec_id % 2 = 1").select("vec_id", "embedding").write.parquet(source)
     stream = t.spark.readStream.schema("vec_id long, embedding array<float>").parquet(source)
     ingest(stream, db, check).awaitTermination()
-    found = db.search(t.base.where("vec_id % 50 = 1").select(F.col("vec_id").alias("query_id"), "embedding"), 1)
-    return found.select("query_id", (F.col("vec_id") == F.col("query_id").cast("string")).alias("found"))
+    found = db.search(t.base.where("vec_id % 2 = 1").select(F.col("vec_id").alias("query_id"), "embedding"), 1)
+    return found.select("query_id", F.col("vec_id").cast("long").alias("vec_id"))
+
+
+def _stream_again(t: Tables) -> DataFrame:
+    """A batch with repeated ids that comes twice: the last of equal ids is in, once."""
+    db = t.db()
+    twice = t.base.select("vec_id", "embedding", F.lit(1).alias("seq")).unionByName(_swapped(t).withColumn("seq", F.lit(2)))
+    for number in (0, 0, 1, 0):
+        db.add(twice if number == 0 else t.base.where("vec_id % 6 = 5").select("vec_id", "embedding", F.lit(1).alias("seq")), order="seq", batch=("s", number))
+    return db.live.select(F.col("vec_id").cast("long").alias("vec_id"), "version", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))
+
+
+def _looked_up(t: Tables) -> DataFrame:
+    """Statistics of a database after changes."""
+    db = _built(t, replicas=2, padding="bucketed")
+    db.delete(t.base.where("vec_id % 5 = 0").select("vec_id"))
+    s = db.stats()
+    held = [db.has("1"), db.has("5"), db.has("nobody"), len(db.get("1")), db.metadata("1")["label"] >= 0]
+    return t.spark.createDataFrame([(s["state"], s["vectors"], s["dimension"], s["version"], s["changes"], s["blobs"], s["clusters"], *held)], "state string, vectors long, dimension int, version long, changes long, blobs long, clusters int, has_1 boolean, has_5 boolean, has_nobody boolean, width int, labelled boolean")
+
+
+def _store(t: Tables) -> BlobTable:
+    return BlobTable(t.spark, t.scratch())
+
+
+def _planes(t: Tables, begin: int, n: int) -> list[list[float]]:
+    return [[1.0 if (i * 31 + p * 17 + i * p * 7) % 11 < 5 else -1.0 for p in range(64)] for i in range(begin, begin + n)]
+
+
+def _two_level(t: Tables) -> TwoLevelIndex:
+    index = TwoLevelIndex(_store(t), _planes(t, 0, 6), _planes(t, 16, 6), 8, 4, KEY)
+    index.build(t.base)
+    return index
+
+
+def _super_scan(t: Tables) -> DataFrame:
+    index = _two_level(t)
+    key = bucket_key(F.floor(F.col("bucket") / 4).cast("int"), F.pmod("bucket", F.lit(4)))
+    return index.super_rows(1, 5).withColumn("key", parse_key(key)).select(F.col("blob_id").cast("long").alias("vec_id"), "key.super", "key.sub")
+
+
+def _bucket_index(t: Tables) -> BucketIndex:
+    index = BucketIndex(_store(t), _planes(t, 0, 6), KEY)
+    index.insert(t.base)
+    return index
+
+
+def _long(found: DataFrame) -> DataFrame:
+    return found.withColumn("vec_id", F.col("vec_id").cast("long"))
+
+
+def _bucket_dml(t: Tables) -> DataFrame:
+    """Insert, delete in batches, statistics by bucket."""
+    index = _bucket_index(t)
+    index.delete(t.base.where("vec_id % 7 = 0").select("vec_id"))
+    index.delete(t.base.where("vec_id % 7 = 0").select("vec_id"))
+    return index.store.bucket_info()
+
+
+def _blobs(t: Tables) -> DataFrame:
+    """Point reads and bucket reads of a blob table after a delete."""
+    store = _store(t)
+    store.put(t.base.select(F.col("vec_id").cast("string").alias("blob_id"), F.col("label").alias("bucket"), F.encode(F.col("label").cast("string"), "UTF-8").alias("ciphertext"), F.lit(1).alias("version")))
+    store.delete(t.base.where("vec_id % 4 = 0").select(F.col("vec_id").cast("string").alias("blob_id")))
+    some = store.bucket(1, 2, 3).unionByName(store.buckets_of(store.list_buckets().where("bucket > 6")))
+    found = store.get(t.queries.select(F.col("query_id").cast("string").alias("blob_id"))).select(F.col("blob_id").cast("long").alias("vec_id"), F.lit("point").alias("kind"), "bucket")
+    return some.select(F.col("blob_id").cast("long").alias("vec_id"), F.lit("bucket").alias("kind"), "bucket").unionByName(found)
+
+
+def _lsh_crud(t: Tables) -> DataFrame:
+    """Added, some replaced by their neighbours, some removed, saved, loaded, searched."""
+    x = LshIndex(t.spark, t.planes())
+    x.add(t.base)
+    x.add(_swapped(t))
+    x.remove(t.base.where("vec_id % 9 = 0").select("vec_id"))
+    folder = t.scratch()
+    x.save(folder)
+    return _long(LshIndex.load(t.spark, folder).rows.select("vec_id", "sig"))
+
+
+def _wide(t: Tables) -> DataFrame:
+    planes = _planes(t, 0, 128)
+    return lsh.hamming_wide(lsh.sign_wide(t.queries, planes, "query_id"), lsh.sign_wide(t.base, planes), 10)
+
+
+def _rotated(t: Tables) -> DataFrame:
+    """Masked under one session key, rotated to another, compared there."""
+    old, new = session_key(16), session_key(16)
+    q, rows = (df.withColumn("sig", rotated(lsh.mask(F.col("sig"), old), old, new)) for df in t.signed())
+    return lsh.hamming_candidates(q, rows, 10)
+
+
+def _fvecs(t: Tables) -> DataFrame:
+    folder = t.scratch()
+    write_vecs(t.base.select(F.col("vec_id").alias("idx"), "embedding"), folder)
+    back = read_vecs(t.spark, f"{folder}/*.fvecs")
+    return back.select("idx", F.size("embedding").alias("dimension"), F.round(norm(F.col("embedding")), 6).alias("norm"), F.get("embedding", F.lit(5)).cast("double").alias("sixth"))
+
+
+def _ivecs(t: Tables) -> DataFrame:
+    folder = t.scratch()
+    best = exact_search(t.queries, t.base, 10).groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda s: s["vec_id"].cast("int")).alias("embedding"))
+    write_vecs(best.select(F.col("query_id").alias("idx"), "embedding"), folder, "ivecs")
+    return ground_truth(t.spark, f"{folder}/*.ivecs").select((F.col("query_id") * 50).alias("query_id"), F.col("base_idx").cast("long").alias("vec_id"), F.col("rank").cast("long").alias("rank"))
+
+
+def _bvecs(t: Tables) -> DataFrame:
+    folder = t.scratch()
+    coarse = F.transform("embedding", lambda x: F.floor((x.cast("double") + 1) * 100).cast("int"))
+    write_vecs(t.base.select(F.col("vec_id").alias("idx"), coarse.alias("embedding")), folder, "bvecs")
+    total = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x)
+    return read_vecs(t.spark, f"{folder}/*.bvecs", "bvecs").select("idx", total.alias("total"))
+
+
+def _glove(t: Tables) -> DataFrame:
+    folder = t.scratch()
+    line = F.concat_ws(" ", F.concat(F.lit("w"), F.col("vec_id").cast("string")), F.array_join(F.transform("embedding", lambda x: F.round(x.cast("double"), 4).cast("string")), " "))
+    t.base.select(line.alias("value")).write.text(folder)
+    return glove(t.spark, folder).select("word", F.size("embedding").alias("dimension"), F.get("embedding", F.lit(0)).alias("first"))
+
+
+def _dataset(t: Tables) -> DataFrame:
+    """The first 100 rows of a Parquet data set of several files, by a number without gaps."""
+    folder = t.scratch()
+    t.base.orderBy("vec_id").repartitionByRange(5, "vec_id").sortWithinPartitions("vec_id").select("vec_id", "embedding").write.parquet(folder)
+    return from_parquet(t.spark, "d", folder).subset(100).stats()
+
+
+def _bootstrap(t: Tables) -> DataFrame:
+    folder = t.scratch()
+    item = F.struct(F.col("vec_id").cast("string").alias("id"), F.transform("embedding", lambda x: F.round(x.cast("double"), 6)).alias("values"), F.create_map(F.lit("label"), F.col("label").cast("string")).alias("metadata"))
+    t.base.groupBy(F.pmod("vec_id", F.lit(4))).agg(F.to_json(F.collect_list(item)).alias("value")).select("value").repartition(4).write.text(folder)
+    rows = bootstrap(t.spark, folder)
+    return rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.get_json_object("metadata", "$.label").cast("int").alias("label"), F.size("embedding").alias("dimension"))
+
+
+def _bucket_centroids(t: Tables) -> DataFrame:
+    c = lsh.bucket_centroids(t.base, _planes(t, 0, 6), 8)
+    return c.select("bucket", "n", F.posexplode("centroid").alias("pos", "m")).select("bucket", "n", F.col("pos").cast("long").alias("pos"), F.round("m", 6).alias("m"))
+
+
+def _sql_functions(t: Tables) -> DataFrame:
+    register_functions(t.spark)
+    t.base.createOrReplaceTempView("vecloom_rows")
+    pair = "FROM vecloom_rows a JOIN vecloom_rows b ON b.vec_id = a.vec_id + 1"
+    call = lambda f: f"round({f}(cast(a.embedding AS ARRAY<DOUBLE>), cast(b.embedding AS ARRAY<DOUBLE>)), 6)"
+    return t.spark.sql(f"SELECT a.vec_id, {call('vec_dot')} AS dot, {call('vec_l2sq')} AS l2, {call('vec_cosine')} AS cos, vec_hamming(a.vec_id, b.vec_id) AS ham {pair}")
+
+
+def _privacy_log(t: Tables) -> DataFrame:
+    log = t.read("events").select((F.pmod("event_id", F.lit(3)) > 0).alias("real"), F.lit(4).alias("probed"), F.pmod("event_id", F.lit(5)).alias("decoys"), F.col("value").alias("ms"))
+    m = privacy_metrics(log)
+    return m.select("real", "dummies", "probed", "decoys", F.round("decoy_share", 6).alias("decoy_share"), F.round("mean_ms", 6).alias("mean_ms"))
+
+
+def _decoy_counts(t: Tables) -> DataFrame:
+    """Decoys of each query: drawn without replacement, outside what it probes."""
+    probed = t.probes()
+    drawn = privacy.uniform_decoys(probed, t.centroids, 2)
+    both = drawn.join(probed.withColumn("p", F.lit(1)), ["query_id", "cluster_id"], "left")
+    return both.groupBy("query_id").agg(F.countDistinct("cluster_id").alias("decoys"), F.count("p").alias("probed_too"))
+
+
+def _settings(t: Tables) -> DataFrame:
+    folder = t.scratch()
+    one = Tenant("acme", 64, 16, bytes(16), KEY, {"tier": "2"})
+    one.save(t.spark, folder, KEY)
+    two = Tenant.load(t.spark, folder, KEY).clone(clusters=32)
+    return t.spark.createDataFrame([(x.name, x.dimension, x.clusters, x.labels["tier"], x.data_key == KEY) for x in (one, two)], "name string, dimension int, clusters int, tier string, same_key boolean")
 
 
 def _pca(t: Tables) -> DataFrame:
@@ -268,6 +531,42 @@ QUERIES = {k: _over(f) for k, f in {
     "pq_trained_recall": _pq_trained,
     "pca_variance": _pca,
     "database_search": _database,
+    "update_then_search": _updated,
+    "reopen_then_delete": _reopened,
+    "sealed_roundtrip": _sealed_roundtrip,
+    "decoy_reads": _decoy_reads,
+    "rebuild_compacts": _compacted,
+    "database_where_pre": lambda t: _where(t, True),
+    "database_where_post": lambda t: _where(t, False),
+    "database_hidden_after": _hidden_after,
+    "database_stats": _looked_up,
+    "stream_again": _stream_again,
+    "two_level_search": lambda t: _long(_two_level(t).search(t.queries, 10, 3, 1, 4)),
+    "super_bucket_scan": _super_scan,
+    "bucket_search": lambda t: _long(_bucket_index(t).search(t.queries, 10, 4, 2)),
+    "hybrid_search": lambda t: _long(_bucket_index(t).hybrid(t.queries, 10, decoys=2)),
+    "bucket_dml": _bucket_dml,
+    "blob_table": _blobs,
+    "lsh_index_crud": _lsh_crud,
+    "lsh_wide_topk": _wide,
+    "lsh_key_rotation": _rotated,
+    "lsh_bucket": lambda t: t.signed()[1].select("vec_id", lsh.bucket(F.col("sig"), 10).alias("bucket")),
+    "lsh_neighbour_buckets": lambda t: t.signed()[1].select("vec_id", F.explode(lsh.neighbour_buckets(lsh.bucket(F.col("sig"), 10), 3, 10)).alias("bucket")),
+    "lsh_bucket_centroids": _bucket_centroids,
+    "fvecs_roundtrip": _fvecs,
+    "ivecs_ground_truth": _ivecs,
+    "bvecs_roundtrip": _bvecs,
+    "glove_text": _glove,
+    "dataset_subset": _dataset,
+    "json_bootstrap": _bootstrap,
+    "generated_vectors": lambda t: generate(t.spark, 1000, 16).select("idx", "vec_id", F.size("embedding").alias("dimension"), F.round(norm(F.col("embedding")), 6).alias("norm")),
+    "sql_functions": _sql_functions,
+    "privacy_log": _privacy_log,
+    "decoy_counts": _decoy_counts,
+    "bernoulli_decoys_outside": lambda t: privacy.bernoulli_decoys(t.probes(), t.centroids, 100).join(t.probes(), ["query_id", "cluster_id"], "left_anti").groupBy("query_id").agg(F.count("*").alias("decoys")),
+    "weighted_pick": lambda t: cluster.weighted_pick(t.base, t.centroids.where("cluster_id < 2"), 0.4),
+    "shuffled_ids": lambda t: privacy.shuffled(t.base.select("vec_id"), 7),
+    "tenant_settings": _settings,
     "save_load_consistency": _saved,
     "stream_ingest": _streamed,
     "text_vector_search": _text_search,

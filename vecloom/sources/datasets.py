@@ -49,7 +49,22 @@ def from_parquet(spark: SparkSession, name: str, path: str) -> Dataset:
     column = next((c for c in VECTOR_COLUMNS if c in rows.columns), None)
     if column is None:
         raise ValueError(f"no vector column among {rows.columns}")
-    return Dataset(name, _named(rows.select(F.monotonically_increasing_id().alias("idx"), F.col(column).alias("embedding")), name))
+    return Dataset(name, _named(numbered(rows.select(F.col(column).alias("embedding"))), name))
+
+
+def numbered(rows: DataFrame) -> DataFrame:
+    """idx (0, 1, 2, ... without gaps, in the order of files and rows) and the columns of rows.
+
+    One more pass counts the rows of each split; only one number a split reaches the driver.
+    """
+    place = rows.withColumn("_at", F.monotonically_increasing_id())
+    split = F.shiftright("_at", 33).cast("int")
+    sizes = place.select(split.alias("s")).groupBy("s").count().orderBy("s").collect()
+    before, begin = 0, [0] * (max((r.s for r in sizes), default=-1) + 1)
+    for r in sizes:
+        begin[r.s], before = before, before + r["count"]
+    starts = F.array(*(F.lit(b).cast("long") for b in begin)) if begin else F.array(F.lit(0).cast("long"))
+    return place.select((F.get(starts, split) + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).alias("idx"), *rows.columns)
 
 
 def glove(spark: SparkSession, path: str) -> DataFrame:

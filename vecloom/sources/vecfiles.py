@@ -67,7 +67,8 @@ def write_vecs(rows: DataFrame, path: str, kind: str = "fvecs", order: str = "id
         from pyarrow import fs
         from pyspark import TaskContext
 
-        store, folder = fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
+        where = "file://" + path[5:] if path.startswith("file:/") and "://" not in path else path
+        store, folder = fs.FileSystem.from_uri(where) if "://" in where else (fs.LocalFileSystem(), where)
         store.create_dir(folder, recursive=True)
         part, n = TaskContext.get().partitionId(), 0
         # A retried task writes the same file again.
