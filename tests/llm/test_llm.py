@@ -266,6 +266,55 @@ def test_scores(docs, texts):
     assert sum(r.score for r in got) > sum(r.base_score for r in got)
 
 
+def test_probabilities_are_a_distribution():
+    """With exact counts, what may follow a history of two words sums to one, and seen words gain."""
+    rng = np.random.default_rng(4)
+    text = rng.integers(0, 12, 4000)
+    count = lambda *w: sum(all(text[i + j] == x for j, x in enumerate(w)) for i in range(len(text) - len(w) + 1))
+    words = np.arange(12)
+    n = np.array([count(w) for w in words], float)
+    base = n / n.sum()
+    a, b = 3, 7
+    pairs, triples = np.array([count(b, w) for w in words], float), np.array([count(a, b, w) for w in words], float)
+    p = []
+    for w in words:
+        # Three tokens: a, b, w.
+        c = np.array([n[a], n[b], n[w]])
+        seen = [(np.array([0.0, count(a, b), pairs[w]]), np.ones(3, bool)), (np.array([0.0, 0.0, triples[w]]), np.array([False, True, True]))]
+        p.append(lm.probability(np.array([base[a], base[b], base[w]]), c.copy(), seen, np.array([0]), 1)[2])
+    assert abs(sum(p) - 1) < 0.01 and p[int(triples.argmax())] > base[int(triples.argmax())]
+
+
+def brute_score(words, counts, n, v, begun):
+    """Log probability of a text by the stated recursion over quantised counts, without a filter."""
+    quantised = lambda g: float(lm.estimate(lm.level(np.array([counts[g]]), 1), 1)[0])
+    out = 0.0
+    for i, w in enumerate(words):
+        p = (counts[(w,)] + 0.5) / (n + 0.5 * (v + 1))
+        history = begun if i == 0 else counts[(words[i - 1],)]
+        for k in (2, 3):
+            if i < k - 2:
+                continue
+            g = (["<"] + words)[max(0, i + 2 - k) : i + 2]
+            seen = quantised(tuple(g))
+            p = (seen + lm.MASS * p) / (max(history, seen) + lm.MASS)
+            history = quantised(tuple((["<"] + words)[max(0, i + 1 - k) : i + 1])) if i >= k - 1 else 0.0
+        out += math.log10(p)
+    return out
+
+
+def test_scores_are_those_of_brute_force(docs, texts):
+    """All n-grams of training texts are in the filter, so only a level too high by chance may differ."""
+    rows = {d: [*brute.words((t or "").translate(brute.LOW)), ">"] for d, t in texts.items()}
+    held = lambda d: zlib.crc32(str(d).encode()) % 5 == 1
+    counts = Counter(tuple(g) for d, w in rows.items() if not held(d) for i in range(len(w)) for g in ([w[i]], (["<"] + w)[i : i + 2], *([(["<"] + w)[i - 1 : i + 2]] if i else [])))
+    ones = [c for g, c in counts.items() if len(g) == 1]
+    begun = sum(not held(d) for d in rows)
+    got = {r.doc_id: r for r in lm.score_documents(docs, F.crc32(F.col("doc_id").cast("string")) % 5 == 1, mb_each=0.2).collect()}
+    apart = [abs(got[d].score - brute_score(w, counts, sum(ones), len(ones), begun)) / len(w) for d, w in rows.items() if not held(d)]
+    assert sum(apart) / len(apart) < 0.02 and sorted(apart)[len(apart) // 2] < 0.02
+
+
 def test_filter_holds_levels():
     rng = np.random.default_rng(2)
     keys, counts = rng.integers(0, 1 << 40, 4000, dtype=np.uint64), rng.integers(2, 500, 4000)

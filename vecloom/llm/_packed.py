@@ -54,23 +54,6 @@ def range_of(h: np.ndarray, ranges: int) -> np.ndarray:
     return ((h >> U64(32)) * np.full(1, ranges, U64) >> U64(32)).astype(np.int64)
 
 
-def split(h: np.ndarray, ranges: int) -> list[tuple[int, int, int]]:
-    """(range, begin, end) of the runs of sorted hashes in each range that has any."""
-    at = np.searchsorted(range_of(h, ranges), np.arange(ranges + 1))
-    return [(r, int(a), int(b)) for r, (a, b) in enumerate(zip(at[:-1], at[1:], strict=True)) if b > a]
-
-
-def pack40(h: np.ndarray) -> bytes:
-    """Low 40 bits of each hash."""
-    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()
-
-
-def unpack40(raw: bytes) -> np.ndarray:
-    out = np.zeros((len(raw) // 5, 8), np.uint8)
-    out[:, :5] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
-    return out.view("<u8").ravel()
-
-
 def squeeze(raw: bytes) -> bytes:
     """Size and compressed bytes."""
     return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)

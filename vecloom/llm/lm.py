@@ -1,16 +1,18 @@
-"""Language-model scores from a log-frequency Bloom filter of bigram counts (operator 6).
+"""Language-model scores from a log-frequency Bloom filter of n-gram counts (operator 6).
 
-Training documents' bigrams are counted exactly, those seen once too; counts are quantised on a
-logarithmic scale, and a bigram of level q is put into a Bloom filter under levels 1 to q. A bigram is
-probed under levels upwards until one is missing, and the level reached gives the count. The probability
-of a token interpolates that bigram estimate with the smoothed unigram base, with a weight that grows
-with the count of the history.
+Training documents' n-grams of two to ORDER words are counted exactly, those seen once too; counts are
+quantised on a logarithmic scale, and an n-gram of level q is put into a Bloom filter under levels 1 to q.
+An n-gram is probed under levels upwards until one is missing, and the level reached gives the count.
+
+Probabilities are smoothed by backing off: that of a token after a history h of n - 1 tokens is
+(c(h, token) + MASS * p) / (c(h) + MASS), where p is its probability after the shorter history, and in the
+end the base. What seen n-grams do not use of a history's mass goes to all tokens alike, so exact counts
+would give a distribution; the levels bend that by their step.
 
 The filter is never in one place: each hash range fills and probes its own part, which grows with its
-items and is dropped afterwards. Groups of documents ask the ranges that own their words and bigrams,
-held-out ones too, and exact unigram counts and bigram levels come back by a shuffle. So neither a
-vocabulary nor a filter is broadcast, no count is left out at any size, and a range's share stays the
-same since there are more ranges for more text.
+items and is dropped afterwards. Groups of documents ask the ranges that own their words and n-grams,
+held-out ones too, and exact unigram counts and n-gram levels come back by an exchange whose rows grow with
+the groups (_exchange). So neither a vocabulary nor a filter is broadcast, and no count is left out at any size.
 
 Defined results: null and empty texts have one token, the end; without training documents each token
 has probability one; rows with a null id are training rows; equal texts have equal scores; an empty
@@ -27,15 +29,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import checkpointed, crc_mod, group_count, read_documents
-from ._packed import LOW40, pack40, pack_counts, pack_texts, range_of, squeeze, summed, unpack40, unpack_counts, unpack_texts, unsqueeze
+from ._exchange import BACK, FAN, SAID, exchange, heard, narrowed, say, table
+from ._packed import LOW40, pack_texts, range_of, unpack_texts
 from ._text import K1, K2, U64, Words, chunks, mix, pair_hash, to_bytes, trimmed
 
 END, BEGIN = U64(0x1F83D9ABFB41BD6B), U64(0x5BE0CD19137E2179)
 MIN_COUNT = 1
 STEP = 1.5
 PROBES = 4
-BITS_EACH = PROBES / math.log(2)
-HISTORY, MOST = 5.0, 0.3
+#: Bits an item, and least bits of a part: an absent n-gram is found by chance in some 0.6 % of cases.
+BITS_EACH, LEAST_BITS = 12, 4096
+ORDER = 3
+#: Weight of the shorter history, in tokens.
+MASS = 2.0
 
 
 def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -50,11 +56,15 @@ def tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(parts), np.concatenate(counts)
 
 
-def bigrams(h: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Hash of each token with the one before it in its text."""
-    before = np.roll(h, 1)
-    before[np.cumsum(counts) - counts] = BEGIN
-    return pair_hash(before, h)
+def ngrams(h: np.ndarray, counts: np.ndarray, order: int = ORDER) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For n = 2 to order: hash of each token with the n - 1 before it, and whether it has so many (the beginning counts as one)."""
+    nth = np.arange(len(h)) - np.repeat(np.cumsum(counts) - counts, counts)
+    last = np.where(nth == 0, BEGIN, np.roll(h, 1))
+    out = [(pair_hash(last, h), np.ones(len(h), bool))]
+    for n in range(3, order + 1):
+        # The n-gram that ends one token earlier, and this token.
+        out.append((pair_hash(np.roll(out[-1][0], 1) + U64(n), h), nth >= n - 2))
+    return out
 
 
 def level(count: np.ndarray, least: int) -> np.ndarray:
@@ -109,10 +119,22 @@ def fill(keys: np.ndarray, levels: np.ndarray, size: int) -> bytes:
 
 
 def size_of(items: int) -> int:
-    return 8 * math.ceil(items * BITS_EACH / 8) if items else 0
+    return max(LEAST_BITS, 8 * math.ceil(items * BITS_EACH / 8)) if items else 0
+
+
+def probability(base: np.ndarray, c: np.ndarray, seen: list[tuple[np.ndarray, np.ndarray]], begin: np.ndarray, begun: int) -> np.ndarray:
+    """Smoothed probability of each token. c: its training count; seen: for n = 2, 3, ... the count of its n-gram and whether there is one."""
+    p, history = base, np.roll(c, 1)
+    history[begin] = begun
+    for count, there in seen:
+        # Quantised counts can be over that of their history, which exact ones never are.
+        longer = (count + MASS * p) / (np.maximum(history, count) + MASS)
+        p = np.where(there, longer, p)
+        history = np.roll(count, 1)
+    return p
 
 
-def score_documents(docs: DataFrame, held_out, max_filter_mb: int = 128, mb_each: float = 4.0) -> DataFrame:
+def score_documents(docs: DataFrame, held_out, max_filter_mb: int = 128, mb_each: float = 4.0, fan: int = FAN) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every whole text.
 
     max_filter_mb is accepted and changes nothing: the filter stays in its ranges, so there is no size to bound.
@@ -121,63 +143,55 @@ def score_documents(docs: DataFrame, held_out, max_filter_mb: int = 128, mb_each
     own = pack_texts(docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text"), groups, ["doc_id", "held_out"])
     kind = docs.schema["doc_id"].dataType.simpleString()
 
-    def ask(table: pa.Table) -> pa.Table:
-        """What a group says to the ranges: its distinct tokens and bigrams with their training counts."""
-        g = table["g"][0].as_py()
-        table = unpack_texts(table)
-        h, counts = tokens(to_bytes(table["text"].combine_chunks()))
-        train = np.repeat(~np.array(table["held_out"].to_pylist(), bool), counts)
-        said = []
-        for x in (h, bigrams(h, counts)):
-            keys, inverse = np.unique(x, return_inverse=True)
-            said.append((keys, np.bincount(inverse, train, len(keys)), np.searchsorted(range_of(keys, groups), np.arange(groups + 1))))
-        (one, n, at), (two, m, to) = said
-        rows = [
-            (r, g, one[a:b].tobytes(), pack_counts(n[a:b]), pack40(two[c:d]), pack_counts(m[c:d]))
-            for r, (a, b, c, d) in enumerate(zip(at[:-1], at[1:], to[:-1], to[1:], strict=True)) if b > a or d > c
-        ]
-        c = list(zip(*rows, strict=True))
-        return pa.table({"r": pa.array(c[0], pa.int32()), "g": pa.array(c[1], pa.int32())} | {k: pa.array(x, pa.binary()) for k, x in zip(("keys", "counts", "pairs", "pair_counts"), c[2:], strict=True)})
-
-    def answer(table: pa.Table) -> pa.Table:
-        """A range's training counts of tokens and levels of bigrams back to each group; totals for group -1."""
-        r = table["r"][0].as_py()
-        back = table["g"].to_pylist()
-        ones, n, twos, m = [], [], [], []
-        for k, c, p, q in zip(*(table[x].to_pylist() for x in ("keys", "counts", "pairs", "pair_counts")), strict=True):
-            ones.append(np.frombuffer(k, "<u8"))
-            n.append(unpack_counts(c, len(ones[-1])))
-            twos.append(unpack40(p))
-            m.append(unpack_counts(q, len(twos[-1])))
-        keys, sums = summed(np.concatenate(ones), np.concatenate(n))
-        pairs, often = summed(np.concatenate(twos), np.concatenate(m))
-        q = level(often, MIN_COUNT)
+    def keys_of(t: pa.Table) -> tuple:
+        """Counts of tokens by text; and for tokens (0) and n-grams (1): distinct keys, where each occurrence stands among them, whose it is."""
+        h, counts = tokens(to_bytes(t["text"].combine_chunks()))
+        several = ngrams(h, counts)
+        place = np.concatenate([np.flatnonzero(there) for _, there in several]) if len(h) else np.zeros(0, np.int64)
+        x = np.concatenate([narrowed(g[there]) for g, there in several])
+        return h, counts, several, [(*np.unique(narrowed(h), return_inverse=True), np.arange(len(h))), (*np.unique(x, return_inverse=True), place)]
+
+    def ask(t: pa.Table) -> pa.Table:
+        """What a group says to the ranges: its distinct tokens and n-grams with their training counts."""
+        g = t["g"][0].as_py()
+        t = unpack_texts(t)
+        _, counts, _, found = keys_of(t)
+        train = np.repeat(~np.array(t["held_out"].to_pylist(), bool), counts)
+        return table([x for k, (keys, inverse, place) in enumerate(found) for x in say(k, g, 0, keys, np.bincount(inverse, train[place], len(keys)), 1, fan)], SAID)
+
+    def answer(k: int, keys: np.ndarray, sums: np.ndarray) -> np.ndarray:
+        """Training counts of tokens; levels of n-grams, by filling and probing this range's filter."""
+        if k == 0:
+            return sums
+        q = level(sums, MIN_COUNT)
         size = size_of(int(q.sum()))
-        model = Filter(np.array([size]), int(q.max(initial=0)), MIN_COUNT, fill(pairs, q, size) if size else b"")
-        found = model.levels(pairs).astype(np.uint8)
-        out = [(r, g, pack_counts(sums[np.searchsorted(keys, k)]), len(k), squeeze(found[np.searchsorted(pairs, p)].tobytes())) for g, k, p in zip(back, ones, twos, strict=True)]
-        out.append((r, -1, np.array([sums.sum(), (sums > 0).sum()], np.int64).tobytes(), 0, b""))
-        c = list(zip(*out, strict=True))
-        return pa.table({"r": pa.array(c[0], pa.int32()), "g": pa.array(c[1], pa.int32()), "counts": pa.array(c[2], pa.binary()), "n": pa.array(c[3], pa.int32()), "levels": pa.array(c[4], pa.binary())})
-
-    asked = own.groupBy("g").applyInArrow(trimmed(ask), "r int, g int, keys binary, counts binary, pairs binary, pair_counts binary")
-    answers = checkpointed(asked.groupBy("r").applyInArrow(trimmed(answer), "r int, g int, counts binary, n int, levels binary"))
-    totals = answers.where("g = -1").select("counts").collect()  # 16 bytes a range
-    n, v = np.sum([np.frombuffer(t["counts"], np.int64) for t in totals], axis=0).tolist() if totals else (0, 0)
+        return Filter(np.array([size]), int(q.max(initial=0)), MIN_COUNT, fill(keys & LOW40, q, size) if size else b"").levels(keys & LOW40)
+
+    asked = own.groupBy("g").applyInArrow(trimmed(ask), SAID)
+    answers = checkpointed(exchange(asked, groups, answer, True, fan))
+
+    def add(t: pa.Table) -> pa.Table:
+        return table([(0, 0, -1, 0, np.sum([np.frombuffer(x, np.int64) for x in t["back"].to_pylist()], axis=0).tobytes())], BACK)
+
+    # Totals of ranges are added in two steps, so that the driver gets a few rows at any size.
+    parts = answers.where("g = -1").groupBy(F.pmod("q", F.lit(FAN)).alias("w")).applyInArrow(lambda t: add(t), BACK).select("back").collect()
+    n, v = np.sum([np.frombuffer(t["back"], np.int64) for t in parts], axis=0).tolist() if parts else (0, 0)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         left = unpack_texts(left)
-        h, counts = tokens(to_bytes(left["text"].combine_chunks()))
-        back = sorted(zip(*(right[x].to_pylist() for x in ("r", "counts", "n", "levels")), strict=True))
-        c = np.concatenate([unpack_counts(k, m) for _, k, m, _ in back]).astype(np.float64)[np.unique(h, return_inverse=True)[1]]
-        q = np.frombuffer(b"".join(unsqueeze(x) for *_, x in back), np.uint8).astype(np.int64)[np.unique(bigrams(h, counts), return_inverse=True)[1]]
+        h, counts, several, ((_, one, _), (_, inverse, place)) = keys_of(left)
+        c = heard(right, 0)[one].astype(np.float64)
+        levels = heard(right, 1)[inverse].astype(np.int64)
+        seen, at = [], 0
+        for _, there in several:
+            m = int(there.sum())
+            count = np.zeros(len(h))
+            count[there] = estimate(levels[at : at + m], MIN_COUNT)
+            seen.append((count, there))
+            at += m
         base = (c + 0.5) / (n + 0.5 * (v + 1))
         begin = np.cumsum(counts) - counts
-        history = np.roll(c, 1)
-        history[begin] = train_docs
-        seen = estimate(q, MIN_COUNT)
-        weight = MOST * history / (history + HISTORY)
-        p = weight * np.minimum(1.0, seen / np.maximum(history, 1)) + (1 - weight) * base
+        p = probability(base, c, seen, begin, train_docs)
         total = lambda x: np.add.reduceat(x, begin)
         return pa.table({
             "doc_id": left["doc_id"], "held_out": left["held_out"], "n_tokens": pa.array(counts, pa.int64()), "n_known": pa.array(total((c > 0).astype(np.int64)), pa.int64()),
