@@ -401,6 +401,32 @@ def test_mix_edges(spark, odd):
     assert rows.columns == odd.columns and rows.count() == sum(r.copies for r in got.values())
 
 
+def test_flow_costs_least():
+    """Small cases against all ways to fill quotas, whole words; many patterns in little time."""
+    import itertools
+    import time
+
+    rng = random.Random(8)
+    for _ in range(30):
+        sources = "ab" if rng.random() < 0.5 else "abc"
+        patterns = {p: rng.randint(1, 3) for p in rng.sample([tuple(c) for n in (1, 2) for c in itertools.combinations(sources, n)], 3)}
+        targets = {s: rng.randint(0, 5) for s in sources}
+        ways: list[tuple[int, int]] = []
+        options = [[c for c in itertools.product(range(2 * w + 1), repeat=len(p)) if sum(c) <= 2 * w] for p, w in patterns.items()]
+        for choice in itertools.product(*options):
+            into = {s: sum(c[p.index(s)] for p, c in zip(patterns, choice, strict=True) if s in p) for s in sources}
+            if all(into[s] <= targets[s] for s in sources):
+                ways.append((-sum(into.values()), sum(min(sum(c), w) + 4 * max(0, sum(c) - w) for c, w in zip(choice, patterns.values(), strict=True))))
+        flow = mixing.route(patterns, targets, 2)
+        out = {p: sum(flow[p].values()) for p in patterns}
+        assert (-sum(out.values()), sum(min(out[p], w) + 4 * max(0, out[p] - w) for p, w in patterns.items())) == min(ways)
+    many = {tuple(sorted({f"s{i % 7}", f"s{i % 11}", f"x{i}"[:3]})) + (f"p{i}",): rng.randint(1, 50) for i in range(20_000)}
+    quotas = {s: 3000 for p in many for s in p}
+    begun = time.time()
+    mixing.route(many, quotas, 2)
+    assert time.time() - begun < 60
+
+
 def test_flow_prefers_fewer_repeats():
     flow = mixing.route({("a",): 10, ("a", "b"): 10, ("b",): 4}, {"a": 12, "b": 8}, 2)
     assert sum(flow[p].get("a", 0) for p in flow) == 12 and sum(flow[p].get("b", 0) for p in flow) == 8
@@ -408,6 +434,39 @@ def test_flow_prefers_fewer_repeats():
     assert sum(mixing.route({("a",): 10}, {"a": 17}, 2)[("a",)].values()) == 17
 
 
+def test_texts_of_no_learned_language_go(spark, docs):
+    rng = random.Random(3)
+    model = langid.fit(docs)
+    junk = ["".join(rng.choices("bcdfghjklmnpqrstvwxz ", k=600)) for _ in range(20)]
+    finnish = ["kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu järki ja omatunto ja heidän on toimittava toisiaan kohtaan veljeyden hengessä " * 3]
+    greek = ["όλοι οι άνθρωποι γεννιούνται ελεύθεροι και ίσοι στην αξιοπρέπεια και τα δικαιώματα είναι προικισμένοι με λογική " * 3]
+    df = spark.createDataFrame(list(enumerate(junk + finnish + greek)), "doc_id long, text string")
+    assert langid.accepted(df, model).count() == 0
+    clean = docs.where("text is not null and length(text) > 40")
+    assert langid.accepted(clean, model).count() > 0.99 * clean.count()
+
+
+def test_stages_with_clashing_columns(spark, docs):
+    """Helper names never clash with columns that the documents have."""
+    names = ["gone", "_gone", "id", "_id", "sha", "_sha", "gaps", "copies", "_copies", "nth", "_k", "lone", "digest", "rep", "g"]
+    some = docs.limit(40)
+    wide = some
+    for x in names:
+        wide = wide.withColumn(x, F.col("doc_id") * 2)
+    for stage in (minhash.one_of_each, substrings.without_repeats, mixing.repeated):
+        a, b = stage(wide), stage(some)
+        assert a.columns == wide.columns and sorted(map(str, a.select(*some.columns).collect())) == sorted(map(str, b.collect()))
+        assert a.where(" or ".join(f"{x} <> doc_id * 2" for x in names)).isEmpty()
+
+
+def test_one_id_with_several_texts(spark):
+    a, b = (" ".join(f"{p}{i}" for i in range(60)) for p in "ab")
+    near = lambda t: t.rsplit(" ", 1)[0] + " end"
+    df = spark.createDataFrame([(1, a), (1, b), (2, near(a)), (3, near(b)), (4, "some other words"), (5, None), (None, a)], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id, r.kept) for r in minhash.near_duplicates(df, 2).collect()), key=str)
+    assert got == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True), (5, 5, True), (None, None, True)], key=str)
+
+
 # 9, 10: native
 
 

@@ -20,17 +20,33 @@ def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only where no folder is set at all."""
+    """The folder in spark.checkpoint.dir; a local one only where none is set and the session is local too."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vecloom-ckpt-"))
+        place = spark.conf.get("spark.checkpoint.dir", None)
+        if place is None and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(place or tempfile.mkdtemp(prefix="vecloom-ckpt-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def free_name(name: str, *tables: DataFrame) -> str:
+    """name, or with as many underscores before it as no column of the tables has."""
+    taken = {c.lower() for t in tables for c in t.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def checkpointed(df: DataFrame, release: bool = False) -> DataFrame:
     """Cut the lineage through the folder in spark.checkpoint.dir, which all executors share.
 
-    A machine-local folder is made only where no folder is set at all, as in local tests. The result
+    The result
     forgets its plan altogether: a checkpoint alone keeps the plan's partitionings and constraints, which
     double with every join of an iterative job. With release, the driver's garbage is collected at once, so
     that Spark's cleaner deletes the shuffle files that led here, and a job needs the disk of one phase.

@@ -8,8 +8,8 @@ The machines are fitted on the driver on a bounded sample: at most per_language
 SAMPLE rows in all, those with the smallest hash of their id. Everything else covers all rows.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; without any labelled row
-every text is `und`; rows with a null label are not learned from; equal texts get equal results; an
-empty table gives an empty table; extra columns are carried only when asked for.
+every text is `und`; rows with a null label are not learned from; equal texts get equal results, ties go to
+the family or language that is first in order; texts of any length are whole; an empty table gives an empty table; extra columns are carried only when asked for.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from ._text import chunks, trim
 
 DIM = 2048
 SAMPLE = 20_000
+#: At most so many languages are learned, the most frequent ones.
+LANGUAGES = 1000
 #: Language families by ISO 639-1 code. A code that is not listed is a family of its own.
 FAMILIES = {
     "Germanic": "en de nl af sv da no nb nn is fy lb yi",
@@ -95,7 +97,7 @@ def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, rounds: int = 30)
 class Model:
     """Family machines, then pairwise machines by family."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]):
+    def __init__(self, x: np.ndarray, langs: list[str], sizes: np.ndarray | None = None):
         labels = np.array(langs, dtype=object)
         self.langs = sorted(set(langs))
         self.family = {g: FAMILY_OF.get(g, g) for g in self.langs}
@@ -111,6 +113,38 @@ class Model:
         self.bias = np.array([m[1] for m in machines])
         self.slope = np.array([m[2] for m in machines])
 
+        self._fit_plausible(x.astype(np.float64) ** 2, labels, np.full(len(x), 1000.0) if sizes is None else sizes)
+
+    def _fit_plausible(self, share: np.ndarray, labels: np.ndarray, sizes: np.ndarray) -> None:
+        """What texts of each language usually get: mean log ratio of a feature to chance, and how that varies."""
+        p = np.array([0.999 * share[labels == g].mean(0) + 0.001 / DIM for g in self.langs])
+        self.ratio = np.log(p * DIM)
+        got = share @ self.ratio.T
+        self.usual, self.between, self.within = (np.zeros(len(self.langs)) for _ in range(3))
+        self.least = np.full(len(self.langs), -4.0)
+        for i, g in enumerate(self.langs):
+            mine, n = got[labels == g, i], sizes[labels == g]
+            self.usual[i] = np.median(mine)
+            self.within[i] = 4 * max(1e-6, float(p[i] @ self.ratio[i] ** 2 - (p[i] @ self.ratio[i]) ** 2))
+            self.between[i] = float(np.median(np.abs(mine - self.usual[i]))) * 1.5
+            # No row that was learned from is implausible, but for the worst in a thousand.
+            self.least[i] = min(-4.0, float(np.quantile(self._distance(mine, n, i), 0.001)) * 1.2)
+
+    def _distance(self, got: np.ndarray, sizes: np.ndarray, i) -> np.ndarray:
+        return (got - self.usual[i]) / np.sqrt(self.between[i] ** 2 + self.within[i] / np.maximum(sizes, 1) + 1e-9)
+
+    def plausible(self, x: np.ndarray, langs: list[str], sizes: np.ndarray) -> np.ndarray:
+        """Whether texts look like their predicted languages at all, however much less they look like the others.
+
+        Judged on what a language's own texts get, so texts of languages that were not learned, or of random letters, fail.
+        """
+        if not len(langs):
+            return np.zeros(0, bool)
+        at = {g: i for i, g in enumerate(self.langs)}
+        i = np.array([at[g] for g in langs])
+        got = ((x.astype(np.float64) ** 2) * self.ratio[i]).sum(1)
+        return self._distance(got, sizes, i) >= self.least[i]
+
     def predict(self, x: np.ndarray) -> list[tuple[str, float]]:
         out = []
         p = 1 / (1 + np.exp(-np.clip(self.slope * (x.astype(np.float64) @ self.w.T + self.bias), -50, 50)))
@@ -134,7 +168,7 @@ class Model:
 def fit(docs: DataFrame, per_language: int = 1000) -> Model | None:
     """Fit on rows of docs (doc_id, text, lang) whose lang and text are not null."""
     docs = docs.where("lang is not null and text is not null")
-    counts = {r.lang: r["count"] for r in docs.groupBy("lang").count().collect()}
+    counts = {r.lang: r["count"] for r in docs.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return None
     most = max(20, min(per_language, SAMPLE // len(counts)))
@@ -144,17 +178,18 @@ def fit(docs: DataFrame, per_language: int = 1000) -> Model | None:
     for g, n in sorted(counts.items()):
         cut = F.when(F.col("lang") == g, F.lit(min(1 << 30, math.ceil((1 << 30) * (1.3 * most + 60) / n)))).otherwise(cut)
     order = W.partitionBy("lang").orderBy("draw", "doc_id", "text")
-    picked = docs.select("doc_id", "text", "lang", draw.alias("draw")).where(F.col("draw") < cut)
+    picked = docs.where(F.col("lang").isin(sorted(counts))).select("doc_id", "text", "lang", draw.alias("draw")).where(F.col("draw") < cut)
     picked = picked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).select("lang", "rank", "text")
 
     def extract(batches):
         for b in batches:
-            x = features(b.column(2).cast("binary").to_pylist()).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "rank", "x"])
+            texts = b.column(2).cast("binary").to_pylist()
+            x = features(texts).astype(np.float16)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary()), pa.array([len(t) for t in texts], pa.int64())], names=["lang", "rank", "x", "size"])
 
-    rows = sorted(picked.mapInArrow(extract, "lang string, rank int, x binary").collect(), key=lambda r: (r.lang, r["rank"]))
+    rows = sorted(picked.mapInArrow(extract, "lang string, rank int, x binary, size long").collect(), key=lambda r: (r.lang, r["rank"]))
     x = np.array([np.frombuffer(r.x, np.float16) for r in rows]).astype(np.float32)
-    return Model(x, [r.lang for r in rows])
+    return Model(x, [r.lang for r in rows], np.array([r["size"] for r in rows], np.float64))
 
 
 def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame:
@@ -178,7 +213,10 @@ def identify(docs: DataFrame, model: Model | None, keep: list[str]) -> DataFrame
 
 
 def accepted(docs: DataFrame, model: Model | None, least: float = 0.3) -> DataFrame:
-    """The rows of docs whose text has a predicted language with a score of at least `least`; columns as they are."""
+    """The rows of docs whose text has a predicted language with a score of at least `least` and is plausible in it; columns as they are.
+
+    Texts without a letter, of languages that were not learned, and of letters in no language's order go.
+    """
     at = docs.columns.index("text")
 
     def choose(batches):
@@ -187,8 +225,13 @@ def accepted(docs: DataFrame, model: Model | None, least: float = 0.3) -> DataFr
             keep: list[bool] = []
             for lo in range(0, len(raw), 512):
                 part = raw[lo : lo + 512]
-                found = model.predict(features(part)) if model else [("und", 0.0)] * len(part)
-                keep += [s >= least and g != "und" and _LETTER.search(t.decode("utf-8", "ignore")) is not None for t, (g, s) in zip(part, found, strict=True)]
+                if model is None:
+                    keep += [False] * len(part)
+                    continue
+                x = features(part)
+                found = model.predict(x)
+                fits = model.plausible(x, [g for g, _ in found], np.array([len(t) for t in part], np.float64))
+                keep += [bool(ok) and s >= least and _LETTER.search(t.decode("utf-8", "ignore")) is not None for t, (_, s), ok in zip(part, found, fits, strict=True)]
             yield b.filter(pa.array(keep, pa.bool_()))
             trim()
 

@@ -18,8 +18,9 @@ is lost.
 
 Defined results: null and blank texts have an empty set and are linked with nothing; a text with fewer
 words than a shingle has one shingle, its whole sequence; rows with a null id are linked with nothing
-and kept; rows that repeat an id count as one document; an empty table gives an empty table; extra
-columns are ignored.
+and kept; rows that repeat an id count as one document, which has the links of all its texts, each row
+with the set size of its own text; texts of any length are whole; ties of pivots go to the larger id and
+change no result; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import checkpointed, read_documents
+from ._common import checkpointed, free_name, read_documents
 from ._packed import squeeze, unsqueeze
 from ._text import U64, Words, chunks, mix, pair_hash, to_bytes, trim
 from .components import components
@@ -280,6 +281,29 @@ class Block:
 def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest linked doc_id) and kept of each row."""
     sigs = checkpointed(signatures(docs, n))
+    several = sigs.where("doc_id is not null and digest is not null").groupBy("doc_id").agg(F.min("digest").alias("a"), F.max("digest").alias("b")).where("a <> b")
+    if not several.isEmpty():
+        return _of_repeated_ids(docs, n, percent)
+    return _near_duplicates(docs, sigs, n, percent)
+
+
+def _of_repeated_ids(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """The same where some id has several texts: each text is linked on its own, and the texts of an id are one document."""
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    rows = docs.select("doc_id", key.alias("key"), "text")
+    alone = rows.where("key is not null").select(F.col("key").alias("doc_id"), "text").dropDuplicates(["doc_id"])
+    found = checkpointed(_near_duplicates(alone, checkpointed(signatures(alone, n)), n, percent).select(F.col("doc_id").alias("key"), "n_shingles", F.col("component_id").alias("comp")))
+    named = rows.select("doc_id", "key").join(found, "key")
+    first = named.groupBy("doc_id").agg(F.min("comp").alias("a"))
+    labels = components(named.join(first, "doc_id").select("a", F.col("comp").alias("b")))
+    joined_up = checkpointed(named.join(labels.toDF("comp", "label"), "comp", "left").select("doc_id", "key", "n_shingles", F.coalesce("label", "comp").alias("comp")))
+    least = joined_up.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    out = joined_up.join(least, "comp").select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    lost = signatures(docs.where("doc_id is null"), n).select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return out.unionByName(lost)
+
+
+def _near_duplicates(docs: DataFrame, sigs: DataFrame, n: int, percent: int) -> DataFrame:
     named = sigs.where("doc_id is not null and digest is not null")
     first = named.groupBy("digest").agg(F.min(F.struct("doc_id", "n_shingles", "sig", "code")).alias("x"))
     reps = checkpointed(first.select("digest", F.col("x.doc_id").alias("rep"), "x.n_shingles", "x.sig", "x.code"))
@@ -299,8 +323,9 @@ def near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs without the rows that are near duplicates of a row with a smaller id; columns as they are."""
-    gone = near_duplicates(docs, n, percent).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
+    name = free_name("gone", docs)
+    gone = near_duplicates(docs.select("doc_id", "text"), n, percent).where(~F.col("kept")).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs["doc_id"] == gone[name], "left_anti")
 
 
 def op4_minhash(spark, sf_dir):

@@ -12,7 +12,6 @@ order; equal rows are treated alike; an empty table gives an empty table; extra
 
 from __future__ import annotations
 
-import heapq
 from fractions import Fraction
 
 import numpy as np
@@ -22,10 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from ._common import checkpointed
+from ._common import checkpointed, free_name
 from ._text import Words, chunks, to_bytes
 
-BINS = 4096
+#: Parts of a pattern's seeded order, as a power of two; only the part where a quota ends is sorted.
+BIN_BITS = 16
 MAX_PATTERNS = 200_000
 
 
@@ -61,59 +61,74 @@ def quotas(sizes: dict, weights: dict, share: Fraction, most: int) -> dict:
 def route(patterns: dict[tuple, int], targets: dict, most: int) -> dict[tuple, dict]:
     """Min-cost flow of words from patterns to source quotas: {pattern: {source: words}}.
 
-    Successive shortest paths with potentials. The k-th copy of a pattern's words costs k*k, so costs
-    are convex and lower copies fill first.
+    The k-th copy of a pattern's words costs k*k, the same for all patterns. So capacity is opened copy by copy, and
+    after each the flow is made as large as it can be: what flows out of a pattern never falls again on the way, so no
+    copy is used while a cheaper one is free anywhere. Each maximum is found by blocking flows over shortest paths.
     """
-    nodes: dict = {}
-    node = lambda x: nodes.setdefault(x, len(nodes))
-    graph: list[list[int]] = []
-    to, cap, cost = [], [], []
-
-    def edge(u, v, c, w):
-        for a, b, x, y in ((u, v, c, w), (v, u, 0, -w)):
-            while len(graph) <= max(a, b):
-                graph.append([])
-            graph[a].append(len(to))
-            to.append(b)
-            cap.append(x)
-            cost.append(y)
-
-    start, end = node("start"), node("end")
-    edge(start, end, 0, 0)
-    arcs = {}
-    for p, words in sorted(patterns.items(), key=str):
-        for k in range(1, most + 1):
-            edge(start, node(("p", p)), words, k * k)
+    order = sorted(patterns, key=str)
+    sources = sorted(targets, key=str)
+    first = {s: 2 + i for i, s in enumerate(sources)}
+    n = 2 + len(sources) + len(order)
+    graph: list[list[int]] = [[] for _ in range(n)]
+    to, cap = [], []
+
+    def edge(u: int, v: int, c: int) -> int:
+        graph[u].append(len(to))
+        graph[v].append(len(to) + 1)
+        to.extend((v, u))
+        cap.extend((c, 0))
+        return len(to) - 2
+
+    for s in sources:
+        edge(first[s], 1, round(targets[s]))
+    opens, arcs = [], {}
+    for i, p in enumerate(order):
+        at = 2 + len(sources) + i
+        opens.append(edge(0, at, 0))
         for s in p:
-            arcs[p, s] = len(to)
-            edge(node(("p", p)), node(("s", s)), words * most, 0)
-    for s, t in sorted(targets.items(), key=str):
-        edge(node(("s", s)), end, round(t), 0)
-    n, high = len(graph), [0] * len(graph)
-    while True:
-        dist, via = [float("inf")] * n, [-1] * n
-        dist[start] = 0
-        heap = [(0, start)]
-        while heap:
-            d, u = heapq.heappop(heap)
-            if d > dist[u]:
-                continue
-            for e in graph[u]:
-                v = to[e]
-                if cap[e] > 0 and (x := d + cost[e] + high[u] - high[v]) < dist[v]:
-                    dist[v], via[v] = x, e
-                    heapq.heappush(heap, (x, v))
-        if dist[end] == float("inf"):
-            break
-        high = [h + d if d < float("inf") else h for h, d in zip(high, dist, strict=True)]
-        path, v = [], end
-        while v != start:
-            path.append(via[v])
-            v = to[via[v] ^ 1]
-        push = min(cap[e] for e in path)
-        for e in path:
-            cap[e] -= push
-            cap[e ^ 1] += push
+            arcs[p, s] = edge(at, first[s], patterns[p] * most)
+    for _ in range(most):
+        for e, p in zip(opens, order, strict=True):
+            cap[e] += patterns[p]
+        while True:
+            depth = [-1] * n
+            depth[0], now = 0, [0]
+            while now and depth[1] < 0:
+                after = []
+                for u in now:
+                    for e in graph[u]:
+                        if cap[e] and depth[to[e]] < 0:
+                            depth[to[e]] = depth[u] + 1
+                            after.append(to[e])
+                now = after
+            if depth[1] < 0:
+                break
+            turn = [0] * n
+            path: list[int] = []
+            u = 0
+            while True:
+                if u == 1:
+                    push = min(cap[e] for e in path)
+                    for e in path:
+                        cap[e] -= push
+                        cap[e ^ 1] += push
+                    k = next(i for i, e in enumerate(path) if not cap[e])
+                    u = to[path[k] ^ 1]
+                    del path[k:]
+                    continue
+                while turn[u] < len(graph[u]):
+                    e = graph[u][turn[u]]
+                    if cap[e] and depth[to[e]] == depth[u] + 1:
+                        break
+                    turn[u] += 1
+                if turn[u] < len(graph[u]):
+                    path.append(graph[u][turn[u]])
+                    u = to[path[-1]]
+                elif path:
+                    u = to[path.pop() ^ 1]
+                    turn[u] += 1
+                else:
+                    break
     out: dict = {p: {} for p in patterns}
     for (p, s), e in arcs.items():
         if cap[e ^ 1]:
@@ -134,13 +149,15 @@ def mix_sources(
 
     members is a string column (one source each) or an array of sources (documents in several).
     weights repeat over the sources in code-point order, or are given by source. Only one row for each
-    membership pattern reaches the driver; more than MAX_PATTERNS of them are refused.
+    membership pattern reaches the driver; more than MAX_PATTERNS of them are refused, since their flow is found there.
     """
     kind = docs.schema[members].dataType
     pattern = F.array_sort(F.array_distinct(F.col(members))) if isinstance(kind, T.ArrayType) else F.array(F.col(members))
     rest = [c for c in dict.fromkeys(("doc_id", *carry)) if c not in ("text", members)]
-    sized = count_words(docs.select(*rest, F.col(members), "text"), [*rest, members])
-    sized = checkpointed(sized.select(*rest, pattern.alias("pattern"), "size"))
+    # Rows without an id are drawn by their texts.
+    lone = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).alias("lone")
+    sized = count_words(docs.select(*rest, F.col(members), lone, "text"), [*rest, members, "lone"])
+    sized = checkpointed(sized.select(*rest, "lone", pattern.alias("pattern"), "size"))
     found = sized.groupBy("pattern").agg(F.sum("size").alias("words")).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
         raise ValueError(f"over {MAX_PATTERNS} membership patterns")
@@ -163,8 +180,8 @@ def mix_sources(
     plan_df = spark.createDataFrame(plan, schema)
     # An array never equals null inside a join key unless its text form is compared.
     key = lambda c: F.to_json(F.struct(F.coalesce(c, F.array().cast("array<string>")).alias("p")))
-    draw = F.xxhash64(F.lit(seed), "doc_id")
-    keyed = sized.withColumn("key", key(F.col("pattern"))).withColumn("draw", draw).withColumn("bin", F.shiftrightunsigned("draw", 52))
+    draw = F.xxhash64(F.lit(seed), "doc_id", "lone")
+    keyed = sized.withColumn("key", key(F.col("pattern"))).withColumn("draw", draw).withColumn("bin", F.shiftrightunsigned("draw", 64 - BIN_BITS))
     plan_df = plan_df.withColumn("key", key(F.col("p"))).drop("p")
 
     # The seeded part: whole bins first, then an order inside the one bin where the quota ends.
@@ -190,9 +207,10 @@ def mix_sources(
 
 def repeated(docs: DataFrame, **options) -> DataFrame:
     """docs with every row as often as the mix takes it; columns as they are. Rows that repeat an id share a decision."""
-    plan = mix_sources(docs, **options).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias("_copies")).where("_copies > 0")
-    rows = docs.join(plan, docs["doc_id"].eqNullSafe(F.col("_id")))
-    return rows.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1).cast("long"), "_copies")).alias("_k")).drop("_k")
+    name, copies, nth = (free_name(x, docs) for x in ("id", "copies", "nth"))
+    plan = mix_sources(docs.select("doc_id", options.get("members", "source"), "text"), **options).groupBy(F.col("doc_id").alias(name)).agg(F.max("copies").alias(copies)).where(F.col(copies) > 0)
+    rows = docs.join(plan, docs["doc_id"].eqNullSafe(plan[name]))
+    return rows.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1).cast("long"), plan[copies])).alias(nth)).drop(nth)
 
 
 def op8_mixing(spark, sf_dir):

@@ -6,8 +6,8 @@ raw corpus, and a document's mean log ratio is held against zero, less what chan
 its length. Every document gets the same deterministic test.
 
 Defined results: a null or blank text has no words and fails the base; null ids are scored like any
-row; an empty target falls back to the documents that pass the base, so ratios are then near zero and
-only base failures go; repeated rows are judged alike; an empty table gives an empty table; extra
+row; with an empty target all ratios are zero and only base failures go; texts of any length are whole;
+repeated rows are judged alike; an empty table gives an empty table; extra
 columns are ignored.
 """
 
