@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections import Counter, defaultdict
-from itertools import pairwise
+from itertools import accumulate, pairwise
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -84,12 +84,28 @@ def token_counts(rows: dict, held) -> tuple[Counter, int]:
     return c, sum(c.values())
 
 
-def merges(text: str, index: dict[str, int]) -> list[str]:
-    """Merge-type pieces without dropout: the best-ranked adjacent pair first, then the leftmost."""
+def merges(text: str, index: dict[str, int], skipped=lambda begin, middle, end: False) -> list[str]:
+    """Merge-type pieces: the best-ranked adjacent pair that is not skipped first, then the leftmost; spans end at None with the text."""
     s = list(text)
     while True:
-        options = [(index[a + b], i) for i, (a, b) in enumerate(pairwise(s)) if a + b in index]
+        begin = [*accumulate((len(x) for x in s), initial=0)]
+        spans = [(begin[i], begin[i + 1], begin[i + 2] if i + 2 < len(s) else None) for i in range(len(s) - 1)]
+        options = [(index[a + b], i) for i, (a, b) in enumerate(pairwise(s)) if a + b in index and not skipped(*spans[i])]
         if not options:
             return s
         _, i = min(options)
         s[i : i + 2] = [s[i] + s[i + 1]]
+
+
+def mix(h: int) -> int:
+    """The 64-bit finaliser of dropout's hash, in whole numbers."""
+    for k in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h = (h ^ h >> 33) * k % 2**64
+    return h ^ h >> 33
+
+
+def skips(document: int, nth: int, seed: int, dropout: float):
+    """Whether a candidate merge of the nth pre-token of a document is skipped."""
+    k1, k2, k3 = 0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53, 0xD6E8FEB86659FD93
+    key = mix((mix((document + seed * k2) % 2**64) + nth * k1) % 2**64)
+    return lambda b, m, e: mix((key + b * k1 + m * k2 + (2**40 if e is None else e) * k3) % 2**64) < int(dropout * 2**64)

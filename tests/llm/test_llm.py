@@ -106,7 +106,7 @@ def test_encoding_equals_the_library_without_dropout(texts):
     sp = sentencepiece.SentencePieceProcessor(model_file="/opt/tokenizers/piece_bpe_32k.model")
     voc = pieces.Vocabulary(load_pieces())
     plain = [" ".join(t.split()) for t in list(texts.values())[:60]]
-    ids, count = pieces.encode_texts([(" " + t).encode() for t in plain], np.zeros(len(plain), U64), voc, 0.0, 1, 1)
+    ids, count = pieces.encode_texts([(" " + t).encode() for t in plain], np.zeros(len(plain), U64), voc, 0.0, 1)
     assert ids.tolist() == [i for t in plain for i in sp.encode(t)] and len(count) == len(plain)
 
 
@@ -115,10 +115,26 @@ def test_encoding_equals_brute_force_without_dropout():
     index = {p: i for i, p in enumerate(names) if not is_special(p) and SPACE not in p[1:]}
     voc = pieces.Vocabulary(names)
     for w in ("internationalisation", "aaaaaaaaaaaa", "thththethe", "eeneenen"):
-        ids, _ = pieces.encode_texts([w.encode()], np.zeros(1, U64), voc, 0.0, 1, 1)
+        ids, _ = pieces.encode_texts([w.encode()], np.zeros(1, U64), voc, 0.0, 1)
         assert [names[i] for i in ids] == brute.merges(w, index)
 
 
+def test_every_occurrence_has_its_own_dropout():
+    names = load_pieces()
+    index = {p: i for i, p in enumerate(names) if not is_special(p) and SPACE not in p[1:]}
+    voc = pieces.Vocabulary(names)
+    texts, keys = [" ".join(["internationalisation"] * 400), "", " ".join(["the thethe"] * 40)], [7, 8, 2**63 + 9]
+    ids, count = pieces.encode_texts([t.encode() for t in texts], np.array(keys, U64), voc, 0.2, 5)
+    got, seen = [names[i] for i in ids], set()
+    want = []
+    for t, k in zip(texts, keys, strict=True):
+        for nth, w in enumerate(t.split()):
+            cut = brute.merges((SPACE if nth else "") + w, index, brute.skips(k, nth, 5, 0.2))
+            seen |= {tuple(cut)} if len(w) > 10 else set()
+            want += cut
+    assert got == want and count[1] == 0 and len(seen) > 100
+
+
 def test_dropout_round_trip(spark, odd, odd_texts):
     first = {r.doc_id: r for r in pieces.encode(odd).collect()}
     assert all(r.lossless and r.n_pieces == len(r.pieces) for r in first.values())
@@ -135,9 +151,9 @@ def test_long_words_merge_alike(texts, monkeypatch):
     keys = np.arange(len(t), dtype=np.uint64)
     for p in (0.0, 0.3):
         monkeypatch.setattr(pieces, "LONG", 400)
-        a = pieces.encode_texts(t, keys, voc, p, 5, 8)
+        a = pieces.encode_texts(t, keys, voc, p, 5)
         monkeypatch.setattr(pieces, "LONG", 2)
-        b = pieces.encode_texts(t, keys, voc, p, 5, 8)
+        b = pieces.encode_texts(t, keys, voc, p, 5)
         assert (a[0] == b[0]).all() and (a[1] == b[1]).all()
 
 

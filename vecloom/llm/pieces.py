@@ -2,9 +2,9 @@
 
 A text is cut into pre-tokens that join to it exactly: a word with the one space before it, or a single
 white-space character. Merge-type encoding keeps an agenda of adjacent pairs whose union is a piece and
-applies the best-ranked, leftmost first. With dropout each candidate merge (pre-token, variant, span) is
-skipped by a keyed hash, so segmentations vary by seed, document and occurrence, yet reruns agree.
-Occurrences of a pre-token in a document draw one of `variants` variants; equal draws share their work.
+applies the best-ranked, leftmost first. With dropout each candidate merge is skipped by a hash of seed,
+document, place of the pre-token in it, and span, so every occurrence of a word is segmented on its own,
+yet reruns agree. Only without dropout do equal pre-tokens share their work.
 
 A space is spelled with the word-start mark; any character without a piece of its own, the mark itself
 included, is spelled in byte pieces. So decoding gives back every text exactly.
@@ -29,6 +29,8 @@ from ._text import K1, K2, K3, U64, chunks, mix, powers, to_bytes, trim
 NONE = np.int32(1 << 30)
 #: Words of more symbols are merged with a heap, one at a time; the results are the same.
 LONG = 400
+#: Bytes of texts that are merged at once; bounds scratch memory and changes no result.
+CHUNK = 1 << 18
 BYTE0 = "<0x00>"
 
 
@@ -174,7 +176,12 @@ def agenda_long(sym: list[int], key: int, voc: Vocabulary, dropout: float) -> li
     return [x for x in sym if x >= 0]
 
 
-def encode_texts(texts: list[bytes], keys: np.ndarray, voc: Vocabulary, dropout: float, seed: int, variants: int) -> tuple[np.ndarray, np.ndarray]:
+def draw_keys(document: np.ndarray, nth: np.ndarray, seed: int) -> np.ndarray:
+    """Hash key of each pre-token's candidate merges: of the seed, its document and its place among the document's pre-tokens."""
+    return mix(mix(document + np.full(1, seed % 2**63, U64) * K2) + nth.astype(U64) * K1)
+
+
+def encode_texts(texts: list[bytes], keys: np.ndarray, voc: Vocabulary, dropout: float, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Piece ids of all texts and the number of pieces of each; keys tell documents apart."""
     strings = [t.decode("utf-8") for t in texts]
     cp = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -191,11 +198,6 @@ def encode_texts(texts: list[bytes], keys: np.ndarray, voc: Vocabulary, dropout:
     start[1:] |= white[:-1] & (cp[:-1] != 32) & ~white[1:]
     begin = np.flatnonzero(start)
     size = np.diff(np.append(begin, n))
-    up, down = powers(n + 1)
-    total = np.cumsum((cp.astype(U64) + U64(1)) * up[:n])
-    h = (total[begin + size - 1] - np.where(begin > 0, total[begin - 1], U64(0))) * down[begin]
-    h = mix(h + size.astype(U64) * K3)
-    del total
     owner = np.searchsorted(text_at, begin, "right") - 1
     if len(texts):
         empty = np.flatnonzero(sizes == 0)
@@ -204,11 +206,14 @@ def encode_texts(texts: list[bytes], keys: np.ndarray, voc: Vocabulary, dropout:
             owner = filled[np.searchsorted(text_at[filled], begin, "right") - 1]
     if dropout > 0:
         per = np.bincount(owner, minlength=len(texts))
-        nth = np.arange(len(begin)) - (np.cumsum(per) - per)[owner]
-        draw = mix(keys[owner] * K1 + nth.astype(U64) * K2 + U64(seed % 2**63)) % U64(variants)
-        h = mix(h + draw * K1 + np.full(1, seed % 2**63, U64) * K2)
-    distinct, first, inverse = np.unique(h, return_index=True, return_inverse=True)
-    b, s = begin[first], size[first]
+        key = draw_keys(keys[owner], np.arange(len(begin)) - (np.cumsum(per) - per)[owner], seed)
+        inverse, b, s = None, begin, size
+    else:
+        up, down = powers(n + 1)
+        total = np.cumsum((cp.astype(U64) + U64(1)) * up[:n])
+        h = (total[begin + size - 1] - np.where(begin > 0, total[begin - 1], U64(0))) * down[begin]
+        key, first, inverse = np.unique(mix(h + size.astype(U64) * K3), return_index=True, return_inverse=True)
+        b, s = begin[first], size[first]
     index = spread(b, s)
     sym, word = voc.char[cp[index]], np.repeat(np.arange(len(b)), s)
     lone = np.flatnonzero(sym < 0)
@@ -220,28 +225,30 @@ def encode_texts(texts: list[bytes], keys: np.ndarray, voc: Vocabulary, dropout:
         fallback = sym[where] < 0
         sym, word = sym[where], word[where]
         sym[fallback] = np.frombuffer(b"".join(raw), np.uint8).astype(np.int32) + voc.byte0
-    head = np.concatenate([[0], np.cumsum(np.bincount(word, minlength=len(b)))])[word]
-    at = np.arange(len(sym)) - head
-    large = np.bincount(word, minlength=len(b)) > LONG
+    length = np.bincount(word, minlength=len(b))
+    head = np.cumsum(length) - length
+    at = np.arange(len(sym)) - head[word]
+    large = length > LONG
     apart = large[word]
-    whole = [agenda_long(sym[word == i].tolist(), int(distinct[i]), voc, dropout) for i in np.flatnonzero(large).tolist()]
-    sym, word = agenda(sym[~apart], word[~apart], at[~apart], distinct, voc, dropout)
+    whole = [agenda_long(sym[head[i] : head[i] + length[i]].tolist(), int(key[i]), voc, dropout) for i in np.flatnonzero(large).tolist()]
+    sym, word = agenda(sym[~apart], word[~apart], at[~apart], key, voc, dropout)
     if whole:
         sym = np.concatenate([sym, *(np.array(x, np.int32) for x in whole)])
         word = np.concatenate([word, np.repeat(np.flatnonzero(large), [len(x) for x in whole])])
         order = np.argsort(word, kind="stable")
         sym, word = sym[order], word[order]
     count = np.bincount(word, minlength=len(b))
-    where = np.cumsum(count) - count
-    ids = sym[spread(where[inverse], count[inverse])]
-    return ids, np.bincount(owner, count[inverse], len(texts)).astype(np.int64)
+    if inverse is not None:
+        where = np.cumsum(count) - count
+        sym, count = sym[spread(where[inverse], count[inverse])], count[inverse]
+    return sym, np.bincount(owner, count, len(texts)).astype(np.int64)
 
 
 def decode_ids(ids: np.ndarray, voc: Vocabulary) -> bytes:
     return voc.flat[spread(voc.begin[ids], voc.width[ids])].tobytes()
 
 
-def encode(docs: DataFrame, dropout: float = 0.1, seed: int = 5, variants: int = 8, folder: str | None = None) -> DataFrame:
+def encode(docs: DataFrame, dropout: float = 0.1, seed: int = 5, folder: str | None = None) -> DataFrame:
     """doc_id, n_pieces, pieces (ids) and lossless (the pieces decode to the text) of every whole text; no shuffle."""
     pieces = tuple(load_pieces(folder))
 
@@ -251,8 +258,8 @@ def encode(docs: DataFrame, dropout: float = 0.1, seed: int = 5, variants: int =
             texts = to_bytes(b.column(1))
             names = b.column(0).cast("string").to_pylist()
             keys = np.array([hash_id(x) for x in names], U64)
-            for lo, hi in chunks(texts, 1 << 20):
-                ids, count = encode_texts(texts[lo:hi], keys[lo:hi], voc, dropout, seed, variants)
+            for lo, hi in chunks(texts, CHUNK):
+                ids, count = encode_texts(texts[lo:hi], keys[lo:hi], voc, dropout, seed)
                 upto = np.concatenate([[0], np.cumsum(count)])
                 same = decode_ids(ids, voc) == b"".join(texts[lo:hi])
                 ok = [True] * (hi - lo) if same else [decode_ids(ids[upto[i] : upto[i + 1]], voc) == texts[lo + i] for i in range(hi - lo)]
