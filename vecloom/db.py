@@ -238,9 +238,12 @@ class VectorDB:
         return placed.select("vec_id", "version", F.col("replica").cast("int").alias("replica"), seal("_raw").alias("ciphertext"), codes.alias("codes"), F.col("bucket").cast("int").alias("bucket"))
 
     def _append(self, blobs: DataFrame) -> None:
-        """Append blobs, then random rows among them that bring each bucket to its padded size; both look alike."""
+        blobs.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(f"{self.index['folder']}/blobs")
+        self._pad()
+
+    def _pad(self) -> None:
+        """Append random rows among the blobs that bring each bucket to its padded size; both look alike."""
         c, place = self.config, f"{self.index['folder']}/blobs"
-        blobs.repartition("bucket").write.mode("append").partitionBy("bucket").parquet(place)
         if c.padding == "none":
             return
         counts = self.blobs.groupBy("bucket").agg(F.count("*").alias("n"))
@@ -305,7 +308,7 @@ class VectorDB:
         self.progress("indexing", 0.9)
         sizes = pi.join(self.blobs.groupBy("bucket").count(), "bucket")
         centroids.join(sizes, "cluster_id", "left").select("cluster_id", F.coalesce("count", F.lit(0)).alias("n"), "centroid").write.parquet(f"{folder}/centroids-0")
-        self._append(self.spark.createDataFrame([], self.BLOBS))
+        self._pad()
         self.built = self.version
         self._manifest(folder, 0)
         self._open(folder, 0)
@@ -387,10 +390,12 @@ class VectorDB:
         if k <= 0:
             raise ValueError("k must be positive")
         q = self._query(queries)
-        fetched = self._only_real(self._fetched(self._asked(q), ("vec_id", "version", "replica", "ciphertext", "codes")))
+        asked = self._asked(q)
+        places = asked.groupBy("bucket").agg(F.bool_or("real").alias("real"))
+        stored = self._only_real(self._fetched(places, ("vec_id", "version", "ciphertext", "codes")))
         if not hidden_after:
-            fetched = self._visible(fetched)
-        found = self._scored(fetched, q, k)
+            stored = self._visible(stored)
+        found = self._scored(stored, q, k, asked.where("real").select("query_id", "bucket"))
         return (self._visible(found) if hidden_after else found).select("query_id", "vec_id", "score", "rank")
 
     def _query(self, queries: DataFrame) -> DataFrame:
@@ -398,15 +403,22 @@ class VectorDB:
             raise WrongDimension("query")
         return self._reduced(queries.select("query_id", "embedding"))
 
-    def _scored(self, fetched: DataFrame, q: DataFrame, k: int) -> DataFrame:
-        """The best k of fetched rows (query_id, vec_id, version, ciphertext, codes) by exact scores."""
+    def _scored(self, stored: DataFrame, q: DataFrame, k: int, probed: DataFrame | None = None) -> DataFrame:
+        """The best k of stored rows (bucket, vec_id, version, ciphertext, codes) by exact scores.
+
+        probed: query_id and bucket; without it every query meets every row. A row is decrypted before it meets
+        queries, once for all of them; with codes only pairs of the short list are.
+        """
         c = self.config
+        met = lambda rows: rows.join(q.select("query_id")) if probed is None else rows.join(probed, "bucket")
+        opened = lambda rows: rows.withColumn("v", crypt.bytes_to_vector(crypt.decrypt(F.col("ciphertext"), c.key, F.col("vec_id")))).where("v is not null").select("bucket", "vec_id", "version", "v", *(["query_id"] if "query_id" in rows.columns else []))
         if c.pq_subspaces:
-            codes = fetched.select("query_id", "vec_id", crypt.bytes_to_codes(crypt.decrypt(F.col("codes"), c.key, F.col("vec_id"))).alias("codes")).where("codes is not null")
-            codes = codes.dropDuplicates(["query_id", "vec_id"])
+            codes = stored.select("bucket", "vec_id", crypt.bytes_to_codes(crypt.decrypt(F.col("codes"), c.key, F.col("vec_id"))).alias("codes")).where("codes is not null")
+            codes = met(codes).select("query_id", "vec_id", "codes").dropDuplicates(["query_id", "vec_id"])
             near = pq.adc_scores(pq.distance_tables(q, self.pq_book), codes, codes.select("query_id", "vec_id"))
-            fetched = fetched.join(pq.shortlist(near, k).select("query_id", "vec_id"), ["query_id", "vec_id"], "left_semi")
-        plain = fetched.withColumn("v", crypt.bytes_to_vector(crypt.decrypt(F.col("ciphertext"), c.key, F.col("vec_id")))).where("v is not null")
+            plain = opened(met(stored).join(pq.shortlist(near, k).select("query_id", "vec_id"), ["query_id", "vec_id"], "left_semi"))
+        else:
+            plain = met(opened(stored))
         score = cosine(F.col("embedding"), F.col("v"))
         score = grid(score, c.score_bits) if c.score_bits else F.round(score, 6)
         best = plain.join(q, "query_id").select("query_id", "vec_id", "version", score.alias("score"))
@@ -432,7 +444,7 @@ class VectorDB:
         q = self._query(queries)
         ids = meta.where(filters.matches(F.col("metadata"), where)).select("vec_id")
         stored = self._visible(self.blobs.where("replica = 0").join(ids, "vec_id", "left_semi"))
-        return self._scored(stored.join(q.select("query_id")), q, k).select("query_id", "vec_id", "score", "rank")
+        return self._scored(stored, q, k).select("query_id", "vec_id", "score", "rank")
 
     # Look-ups
 

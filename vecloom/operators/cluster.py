@@ -64,7 +64,13 @@ def fit_kmeans(rows: DataFrame, k: int, seed: int = 42, max_iter: int = 50, init
         fits = [KMeans(k=k, seed=seed + i, maxIter=max_iter, tol=1e-4).fit(data) for i in range(inits)]
         model = min(fits, key=lambda m: m.summary.trainingCost)
         centres = [[float(x) for x in c] for c in model.clusterCenters()]
-        table = lambda: spark.createDataFrame(list(enumerate(centres)), "cluster_id int, centroid array<double>")
+
+        def table() -> DataFrame:
+            out = spark.createDataFrame(list(enumerate(centres)), "cluster_id int, centroid array<double>")
+            if sum(map(len, centres)) * 8 <= CENTROID_BYTES:
+                out._held = True  # local rows already
+            return out
+
         if len(centres) < k:
             near = assign(data, table(), keep=("embedding",))
             largest = near.groupBy("cluster_id").count().orderBy(F.desc("count"), "cluster_id").first()
