@@ -2,9 +2,9 @@
 
 The distinct pre-tokens (words, each with a word-start mark) of some texts go into a trie. The unigram
 forward score of a prefix, that is the best log probability of a segmentation of it into pieces, depends
-on the prefix alone, so it is computed once for each trie node, level by level, with the number of
-pieces of that best segmentation. The nodes where pre-tokens end hold their counts; a document's count
-is the sum over its pre-tokens.
+on the prefix alone, so it is computed once for each trie node, with the number of pieces of that best
+segmentation: level by level for pre-tokens of up to 64 bytes, depth first for longer ones. The nodes
+where pre-tokens end hold their counts; a document's count is the sum over its pre-tokens.
 
 Piece probabilities come from the vocabulary file as they are: a piece of rank r has weight 1 / (r + 1).
 A character that no piece covers costs its UTF-8 bytes in byte pieces. Of equal scores the segmentation
@@ -39,7 +39,6 @@ class Unigram:
         raw = [p for _, p in ranked]
         self.longest = max(map(len, raw))
         self.lengths = sorted({len(p) for p in raw})
-        self.spelled = {p.decode(): float(v) for p, v in zip(raw, self.score, strict=True)}
         up, _ = powers(1 << 10)
         h = np.array([(np.frombuffer(p, np.uint8).astype(U64) * up[: len(p)]).sum() for p in raw], U64)
         h += np.array([len(p) for p in raw], U64) * K3
@@ -49,15 +48,10 @@ class Unigram:
         return self.table.get(mix(h + np.full(1, length, U64) * K3))
 
 
-def count_distinct(tokens: list[bytes], model: Unigram) -> tuple[np.ndarray, np.ndarray]:
-    """Pieces and forward score of each of the distinct tokens (bytes), which are given in sorted order."""
-    m = len(tokens)
-    size = np.array([len(t) for t in tokens], np.int64)
-    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
-    buf = np.frombuffer(b"".join(tokens), np.uint8)
-    # Trie: a row's prefix of length d is a new node unless the row above shares it.
-    shared = np.zeros(m, np.int64)
-    for k in range(1, m):
+def shared_prefixes(tokens: list[bytes]) -> np.ndarray:
+    """Length of the prefix that each token has in common with the one above it; tokens are in sorted order."""
+    shared = np.zeros(len(tokens), np.int64)
+    for k in range(1, len(tokens)):
         a, b = tokens[k - 1], tokens[k]
         n = min(len(a), len(b))
         if a[:n] == b[:n]:
@@ -71,6 +65,17 @@ def count_distinct(tokens: list[bytes], model: Unigram) -> tuple[np.ndarray, np.
                 else:
                     hi = mid
             shared[k] = lo
+    return shared
+
+
+def count_distinct(tokens: list[bytes], model: Unigram) -> tuple[np.ndarray, np.ndarray]:
+    """Pieces and forward score of each of the distinct tokens (bytes), which are given in sorted order."""
+    m = len(tokens)
+    size = np.array([len(t) for t in tokens], np.int64)
+    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+    buf = np.frombuffer(b"".join(tokens), np.uint8)
+    # Trie: a row's prefix of length d is a new node unless the row above shares it.
+    shared = shared_prefixes(tokens)
     up, down = powers(len(buf) + 1)
     total = np.concatenate([[U64(0)], np.cumsum(buf.astype(U64) * up[: len(buf)])])
     cont = (buf & 0xC0) == 0x80
@@ -120,21 +125,67 @@ def count_distinct(tokens: list[bytes], model: Unigram) -> tuple[np.ndarray, np.
     return count, best
 
 
-def count_long(token: bytes, model: Unigram) -> tuple[int, float]:
-    """The same recursion for one long token, whose prefixes are hardly shared: pieces and score."""
-    text = token.decode("utf-8")
-    wide = max(map(len, model.spelled))
-    best, count = [0.0] + [-np.inf] * len(text), [0] * (len(text) + 1)
-    for end in range(1, len(text) + 1):
-        # Longest piece first, byte pieces last, as in count_distinct.
-        options = ((begin, model.spelled.get(text[begin:end])) for begin in range(max(0, end - wide), end))
-        found = [(best[b] + v, count[b] + 1) for b, v in options if v is not None]
-        width = len(text[end - 1].encode())
-        found.append((best[end - 1] + width * model.byte, count[end - 1] + width))
-        for value, n in found:
-            if value > best[end] or (value == best[end] and n < count[end]):
-                best[end], count[end] = value, n
-    return count[-1], best[-1]
+def count_deep(tokens: list[bytes], model: Unigram, step: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """The same for long tokens, whose trie is deep and narrow: it is walked depth first.
+
+    The scores of the path down to the present node are kept, so a token goes on from the last node that it shares
+    with the token above. The pieces that end at new nodes are looked up for `step` bytes of all tokens at once.
+    """
+    m = len(tokens)
+    size = np.array([len(t) for t in tokens], np.int64)
+    begin = np.concatenate([[0], np.cumsum(size)[:-1]])
+    buf = np.frombuffer(b"".join(tokens), np.uint8)
+    shared = shared_prefixes(tokens)
+    top = int(size.max(initial=0))
+    path, pieces = [0.0] + [-np.inf] * top, [0] * (top + 1)
+    best, count = np.zeros(m), np.zeros(m, np.int64)
+    for lo in range(0, len(buf), step):
+        hi, back = min(lo + step, len(buf)), max(0, lo - max(model.longest, 4))
+        part = buf[back:hi]
+        up, down = powers(len(part) + 1)
+        total = np.concatenate([[U64(0)], np.cumsum(part.astype(U64) * up[: len(part)])])
+        head = (part & 0xC0) != 0x80
+        end = np.arange(lo + 1, hi + 1)
+        owner = np.searchsorted(begin, end - 1, side="right") - 1
+        depth = end - begin[owner]
+        # Nodes are at the ends of characters; every token begins with a whole one.
+        new = (depth > shared[owner]) & np.append(head[lo + 1 - back :], hi == len(buf) or (buf[hi : hi + 1] & 0xC0) != 0x80)
+        end, owner, depth = end[new], owner[new], depth[new]
+        at, found = end - back, []
+        # Longest piece first and byte pieces last, as in count_distinct.
+        for length in reversed(model.lengths):
+            ok = np.flatnonzero(depth >= length)
+            ok = ok[head[at[ok] - length]]
+            x = at[ok]
+            piece = model.find((total[x] - total[x - length]) * down[x - length], length)
+            hit = piece >= 0
+            found.append((ok[hit], np.full(hit.sum(), length), model.score[piece[hit]], np.ones(hit.sum(), np.int64)))
+        for length in (1, 2, 3, 4):
+            ok = np.flatnonzero(depth >= length)
+            ok = ok[head[at[ok] - length]]
+            if length > 1:  # one character, and not several
+                first = part[at[ok] - length]
+                ok = ok[(first >= (0xC0, 0xE0, 0xF0)[length - 2]) & (first < (0xE0, 0xF0, 0xF8)[length - 2])]
+            else:
+                ok = ok[part[at[ok] - 1] < 0x80]
+            found.append((ok, np.full(len(ok), length), np.full(len(ok), length * model.byte), np.full(len(ok), length)))
+        node, length, value, n = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.argsort(node, kind="stable")
+        node, length, value, n = node[order], length[order], value[order], n[order]
+        first, last = (np.searchsorted(begin, x, side="right") - 1 for x in (lo, hi - 1))
+        edges = np.searchsorted(owner[node], np.arange(first, last + 2))
+        for k, a, b in zip(range(first, last + 1), edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if begin[k] >= lo:
+                path[shared[k] + 1 : size[k] + 1] = [-np.inf] * int(size[k] - shared[k])
+            ends = depth[node[a:b]]
+            for d, src, v, c in zip(ends.tolist(), (ends - length[a:b]).tolist(), value[a:b].tolist(), n[a:b].tolist(), strict=True):
+                v += path[src]
+                c += pieces[src]
+                if v > path[d] or (v == path[d] and c < pieces[d]):
+                    path[d], pieces[d] = v, c
+            if begin[k] + size[k] <= hi:
+                best[k], count[k] = path[size[k]], pieces[size[k]]
+    return count, best
 
 
 def count_texts(texts: list[bytes], model: Unigram, limit: int = 6 << 20) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,13 +199,10 @@ def count_texts(texts: list[bytes], model: Unigram, limit: int = 6 << 20) -> tup
         order = sorted(range(len(spelled)), key=spelled.__getitem__)
         n, s = np.zeros(len(distinct), np.int64), np.zeros(len(distinct))
         if order:
-            # Long pre-tokens go apart: the trie has as many levels as its longest row.
-            short = [i for i in order if len(spelled[i]) <= 64]
-            if short:
-                n[short], s[short] = count_distinct([spelled[i] for i in short], model)
-            for i in order:
-                if len(spelled[i]) > 64:
-                    n[i], s[i] = count_long(spelled[i], model)
+            # A trie by levels for short rows, one walked depth first for long ones.
+            for rows, fn in (([i for i in order if len(spelled[i]) <= 64], count_distinct), ([i for i in order if len(spelled[i]) > 64], count_deep)):
+                if rows:
+                    n[rows], s[rows] = fn([spelled[i] for i in rows], model)
         for out, v in ((tokens, n), (scores, s)):
             upto = np.concatenate([[0], np.cumsum(v[inverse])])
             out.append(np.diff(upto[w.bounds]))
