@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.vectors import cosine
 from .cluster import assign, centroid_scores, fit_kmeans, held
 from .probe import gap, strict, threshold
-from .scan import top_k
+from .scan import block_scan, scorer
 
 
 def probes(queries: DataFrame, centroids: DataFrame, least: int = 4, most: int = 8, strategy: str = "threshold", t: float = 0.95, multiplier: float = 2.0, ranked: DataFrame | None = None) -> DataFrame:
@@ -24,18 +24,15 @@ def probes(queries: DataFrame, centroids: DataFrame, least: int = 4, most: int =
 def search(queries: DataFrame, stored: DataFrame, probed: DataFrame, k: int = 10, replicas: int = 1) -> DataFrame:
     """query_id, vec_id, score, rank: best k over the probed clusters; a vector in several of them counts once.
 
-    stored: vec_id, embedding, cluster_id, at most `replicas` rows a vector, so embeddings meet queries without a
-    shuffle by id. Pairs are scored where they meet; only the best k * replicas of each query and task are shuffled on.
+    stored: vec_id, embedding, cluster_id, at most `replicas` rows a vector. Each block of queries goes to the rows, which
+    meet those that probe their cluster as matrices; only the best k * replicas of each query and task are shuffled.
     Where probed has a column `real`, rows that decoys brought are dropped after they were read.
     """
-    q = queries.select("query_id", F.col("embedding").alias("q"))
-    met = stored.select("vec_id", "embedding", "cluster_id").join(probed.join(q, "query_id"), "cluster_id")
     if "real" in probed.columns:
-        met = met.where(F.when(F.col("vec_id").isNotNull(), F.col("real")))
-    scored = met.select("query_id", "vec_id", F.round(cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-    if replicas > 1:
-        scored = top_k(scored, k * replicas).drop("rank").distinct()
-    return top_k(scored, k)
+        places = probed.groupBy("cluster_id").agg(F.bool_or("real").alias("real"))
+        stored = stored.join(F.broadcast(places), "cluster_id").where(F.when(F.col("vec_id").isNotNull(), F.col("real")))
+        probed = probed.where("real")
+    return block_scan(queries, stored, "embedding", scorer(), k, "score", False, T.DoubleType(), probed.select("query_id", "cluster_id"), copies=replicas)
 
 
 def build(rows: DataFrame, clusters: int, replicas: int = 1, seed: int = 42, sample: float | None = None) -> tuple[DataFrame, DataFrame]:

@@ -39,7 +39,7 @@ def hamming_wide(queries: DataFrame, signed: DataFrame, k: int) -> DataFrame:
     """query_id, vec_id, hamming, rank over word arrays (sign_wide); queries in blocks."""
 
     def distance(words: list, q: np.ndarray) -> np.ndarray:
-        w = np.array(words, np.int64).view(np.uint64)
+        w = np.ascontiguousarray(words, np.int64).view(np.uint64)
         return sum(np.bitwise_count(w[:, None, i] ^ q.astype(np.int64).view(np.uint64)[None, :, i]).astype(np.float64) for i in range(w.shape[1]))
 
     return block_scan(queries, signed, "words", distance, k, "hamming", True, T.IntegerType())
