@@ -8,13 +8,14 @@ from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .errors import AlreadyExists, EmptyId, InvalidConfig, NotBuilt, NotFound, NoVectors, RepeatedId, WrongDimension
 from .functions import crypt
 from .functions.vectors import cosine, grid, normalize
 from .operators import cluster, filters, ivf, pca, pq, privacy
 from .operators.provider import PlainProvider, ScoreProvider
-from .operators.scan import top_k
+from .operators.scan import block_scan, scorer, top_k
 
 
 @dataclass
@@ -226,12 +227,14 @@ class VectorDB:
         return rows.withColumn("embedding", normalize(F.col("embedding")))
 
     def _sealed(self, rows: DataFrame) -> DataFrame:
-        """Blobs of normalised rows: each under the buckets of its clusters."""
+        """Blobs of opened rows: each under the buckets of its clusters. Vectors are sealed as they came (with PCA, reduced): normalised ones in single precision would give other scores."""
         c = self.config
-        near = cluster.assign(rows, self.index["centroids"], c.replicas, keep=("version", "embedding")).drop("dist")
+        rows = self._reduced(rows.withColumn("given", F.col("embedding")))
+        rows = rows.withColumn("given", F.col("embedding")) if self.pca_model else rows
+        near = cluster.assign(rows, self.index["centroids"], c.replicas, keep=("version", "embedding", "given")).drop("dist")
         if c.pq_subspaces:
-            near = crypt.with_bytes(pq.encode(near, self.pq_book, keep=("version", "replica", "cluster_id", "embedding")), "codes", "codes", "<u2")
-        near = crypt.with_bytes(near.withColumn("embedding", F.col("embedding").cast("array<float>")), "embedding", "_raw")
+            near = crypt.with_bytes(pq.encode(near, self.pq_book, keep=("version", "replica", "cluster_id", "given")), "codes", "codes", "<u2")
+        near = crypt.with_bytes(near.withColumn("given", F.col("given").cast("array<float>")), "given", "_raw")
         seal = lambda x: crypt.encrypt(F.col(x), c.key, F.col("vec_id"))
         codes = seal("codes") if c.pq_subspaces else F.lit(None).cast("binary")
         placed = privacy.to_storage(near, self.index["permutation"])
@@ -291,7 +294,7 @@ class VectorDB:
         if c.pca_dimension:
             self.progress("pca", 0.0)
             self.pca_model = pca.fit(rows, c.pca_dimension)
-        rows = self._reduced(rows)
+        given, rows = rows, self._reduced(rows)
         folder = f"{self.path}/index-{self.version}-{uuid.uuid4().hex[:8]}"
         if c.pq_subspaces:
             self.progress("pq_training", 0.1)
@@ -304,7 +307,7 @@ class VectorDB:
         pi = self.spark.read.parquet(f"{folder}/permutation")
         self.index = {"folder": folder, "centroids": cluster.held(centroids), "permutation": pi}
         self.progress("encrypting", 0.6)
-        self._sealed(rows).repartition("bucket").write.partitionBy("bucket").parquet(f"{folder}/blobs")
+        self._sealed(given).repartition("bucket").write.partitionBy("bucket").parquet(f"{folder}/blobs")
         self.progress("indexing", 0.9)
         sizes = pi.join(self.blobs.groupBy("bucket").count(), "bucket")
         centroids.join(sizes, "cluster_id", "left").select("cluster_id", F.coalesce("count", F.lit(0)).alias("n"), "centroid").write.parquet(f"{folder}/centroids-0")
@@ -332,10 +335,10 @@ class VectorDB:
 
     def _insert(self, sealed: DataFrame) -> None:
         """Assign, permute, encrypt and append new rows, then move the centroids of their first clusters."""
-        rows = self._reduced(self._opened(sealed))
+        rows = self._opened(sealed)
         folder, round_ = self.index["folder"], self.index["round"]
         self._append(self._sealed(rows))
-        first = cluster.assign(rows, self.index["centroids"], keep=("embedding",)).select("cluster_id", "embedding")
+        first = cluster.assign(self._reduced(rows), self.index["centroids"], keep=("embedding",)).select("cluster_id", "embedding")
         cluster.running_mean(self.index["centroids"], first).write.mode("overwrite").parquet(f"{folder}/centroids-{round_ + 1}")
         self._manifest(folder, round_ + 1)
         self._open(folder, round_ + 1)
@@ -407,18 +410,18 @@ class VectorDB:
         """The best k of stored rows (bucket, vec_id, version, ciphertext, codes) by exact scores.
 
         probed: query_id and bucket; without it every query meets every row. A row is decrypted before it meets
-        queries, once for all of them; with codes only pairs of the short list are.
+        queries, once for all of them, and meets them as matrices; with codes only pairs of the short list are decrypted.
         """
         c = self.config
-        met = lambda rows: rows.join(q.select("query_id")) if probed is None else rows.join(probed, "bucket")
         opened = lambda rows: rows.withColumn("v", crypt.bytes_to_vector(crypt.decrypt(F.col("ciphertext"), c.key, F.col("vec_id")))).where("v is not null").select("bucket", "vec_id", "version", "v", *(["query_id"] if "query_id" in rows.columns else []))
-        if c.pq_subspaces:
-            codes = stored.select("bucket", "vec_id", crypt.bytes_to_codes(crypt.decrypt(F.col("codes"), c.key, F.col("vec_id"))).alias("codes")).where("codes is not null")
-            codes = met(codes).select("query_id", "vec_id", "codes").dropDuplicates(["query_id", "vec_id"])
-            near = pq.adc_scores(pq.distance_tables(q, self.pq_book), codes, codes.select("query_id", "vec_id"))
-            plain = opened(met(stored).join(pq.shortlist(near, k).select("query_id", "vec_id"), ["query_id", "vec_id"], "left_semi"))
-        else:
-            plain = met(opened(stored))
+        if not c.pq_subspaces:
+            rows = opened(stored).withColumnRenamed("v", "embedding")
+            return block_scan(q, rows, "embedding", scorer(bits=c.score_bits), k, "score", False, T.DoubleType(), probed, "bucket", ("version",), c.replicas)
+        met = lambda rows: rows.join(q.select("query_id")) if probed is None else rows.join(probed, "bucket")
+        codes = stored.select("bucket", "vec_id", crypt.bytes_to_codes(crypt.decrypt(F.col("codes"), c.key, F.col("vec_id"))).alias("codes")).where("codes is not null")
+        codes = met(codes).select("query_id", "vec_id", "codes").dropDuplicates(["query_id", "vec_id"])
+        near = pq.adc_scores(pq.distance_tables(q, self.pq_book), codes, codes.select("query_id", "vec_id"))
+        plain = opened(met(stored).join(pq.shortlist(near, k).select("query_id", "vec_id"), ["query_id", "vec_id"], "left_semi"))
         score = cosine(F.col("embedding"), F.col("v"))
         score = grid(score, c.score_bits) if c.score_bits else F.round(score, 6)
         best = plain.join(q, "query_id").select("query_id", "vec_id", "version", score.alias("score"))
@@ -449,11 +452,11 @@ class VectorDB:
     # Look-ups
 
     def get(self, vec_id: str) -> list[float]:
-        """The stored (normalised, perhaps reduced) vector, decrypted."""
+        """The stored vector, decrypted, normalised and perhaps reduced."""
         if not self.index:
             raise NotBuilt("build first")
         rows = self._visible(self.blobs.where((F.col("vec_id") == str(vec_id)) & (F.col("replica") == 0)))
-        found = self._opened(rows).orderBy(F.desc("version")).select("embedding").take(1)
+        found = self._opened(rows).orderBy(F.desc("version")).select(normalize(F.col("embedding")).alias("embedding")).take(1)
         if not found:
             raise NotFound(vec_id)
         return list(found[0].embedding)

@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import crypt
-from ..functions.vectors import cosine, grid, hyperplane_signature
+from ..functions.vectors import grid, hyperplane_signature
 from . import lsh, privacy
 from .blobs import BlobTable
 from .cluster import centroid_scores
 from .probe import strict
-from .scan import top_k
+from .scan import block_scan, scorer, top_k
 
 
 def bucket_key(super_id: Column, sub_id: Column) -> Column:
@@ -64,26 +65,22 @@ class BucketIndex:
             out = out.unionByName(privacy.existing_decoys(real, self.store.list_buckets(), decoys, "bucket").withColumn("real", F.lit(False)))
         return out
 
-    def scored(self, queries: DataFrame, asked: DataFrame) -> DataFrame:
-        return _scored(self.store, self.key, queries, asked)
-
     def search(self, queries: DataFrame, k: int = 10, flips: int = 0, decoys: int = 0) -> DataFrame:
         """query_id, vec_id, score, rank."""
-        return top_k(self.scored(queries, self.asked(queries, flips, decoys)), k)
+        return _searched(self.store, self.key, queries, self.asked(queries, flips, decoys), k)
 
     def hybrid(self, queries: DataFrame, k: int = 10, fine: int = 20, flips: int = 4, decoys: int = 0, bits: int = 10) -> DataFrame:
         """Exact scores pick `fine` candidates, whose scores on the grid of an encrypted evaluation decide."""
-        coarse = top_k(self.scored(queries, self.asked(queries, flips, decoys)), fine).drop("rank")
-        return top_k(coarse.withColumn("score", grid(F.col("score"), bits)), k)
+        coarse = self.search(queries, fine, flips, decoys).drop("rank")
+        return top_k(coarse.withColumn("score", grid(F.col("score"), bits)), k, ties=F.col("vec_id"))
 
 
-def _scored(store: BlobTable, key: bytes, queries: DataFrame, asked: DataFrame) -> DataFrame:
-    """Fetch all asked buckets, drop decoys' rows after the fetch, decrypt, score."""
-    fetched = asked.join(store.rows, "bucket").where(F.when(F.col("blob_id").isNotNull(), F.col("real")))
-    plain = fetched.select("query_id", F.col("blob_id").alias("vec_id"), crypt.bytes_to_vector(crypt.decrypt(F.col("ciphertext"), key, F.col("blob_id"))).alias("v")).where("v is not null")
-    q = queries.select("query_id", F.col("embedding").alias("q"))
-    best = plain.join(q, "query_id").groupBy("query_id", "vec_id").agg(F.max(F.round(cosine(F.col("q"), F.col("v")), 6)).alias("score"))
-    return best
+def _searched(store: BlobTable, key: bytes, queries: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Fetch all asked buckets, drop decoys' rows after the fetch, decrypt each row once for all queries, score, keep the best k."""
+    places = asked.groupBy("bucket").agg(F.bool_or("real").alias("real"))
+    fetched = places.join(store.rows, "bucket").where(F.when(F.col("blob_id").isNotNull(), F.col("real")))
+    plain = fetched.select(F.col("blob_id").alias("vec_id"), crypt.bytes_to_vector(crypt.decrypt(F.col("ciphertext"), key, F.col("blob_id"))).alias("embedding"), "bucket").where("embedding is not null")
+    return block_scan(queries, plain, "embedding", scorer(), k, "score", False, T.DoubleType(), asked.where("real").select("query_id", "bucket"), "bucket")
 
 
 class TwoLevelIndex:
@@ -119,4 +116,4 @@ class TwoLevelIndex:
         return both.select("query_id", (F.col("super") * self.subs + F.col("sub")).cast("int").alias("bucket"), "real")
 
     def search(self, queries: DataFrame, k: int = 10, top: int = 3, neighbours: int = 1, decoys: int = 0) -> DataFrame:
-        return top_k(_scored(self.store, self.key, queries, self.asked(queries, top, neighbours, decoys)), k)
+        return _searched(self.store, self.key, queries, self.asked(queries, top, neighbours, decoys), k)
