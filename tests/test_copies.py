@@ -43,6 +43,11 @@ def test_ties_go_to_the_smaller_number(spark, copied, name):
     same(spark, copied[2], name)
 
 
+def test_as_many_codes_are_reranked_as_the_sql_says(spark, copied):
+    """Of over 2000 rows a tenth is more than 200."""
+    same(spark, copied[6], "pq_rerank_topk")
+
+
 def test_stored_vectors_give_exact_scores(spark, tmp_path):
     """Vectors in single precision, normalised before they are sealed, would give other scores in the sixth place."""
     rows = generate(spark, 400, 16, unit=False).select(F.col("idx").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"))

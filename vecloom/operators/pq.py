@@ -112,15 +112,17 @@ def rerank_count(k: int, scored: int, multiplier: int = 20, floor: int = 200, sh
     return min(scored, max(k * multiplier, floor, int(scored * share)))
 
 
-def shortlist(near: DataFrame, k: int) -> DataFrame:
-    """The best candidates (query_id, vec_id, dist) of each query, as many as rerank_count gives for what it scored."""
+def shortlist(near: DataFrame, k: int, fixed: int | None = None) -> DataFrame:
+    """The best candidates (query_id, vec_id, dist) of each query: a fixed number, or as many as rerank_count gives for what it scored."""
+    if fixed is not None:
+        return top_k(near, fixed, "dist", ascending=True)
     by = W.partitionBy("query_id")
     n = F.count("*").over(by)
     room = F.least(n, F.greatest(F.lit(k * 20), F.lit(200), (n / 10).cast("long")))
     return near.withColumn("room", room).withColumn("r", F.row_number().over(by.orderBy("dist", "vec_id"))).where(F.col("r") <= F.col("room"))
 
 
-def two_phase(queries: DataFrame, rows: DataFrame, codebook: DataFrame, encoded: DataFrame, k: int = 10, pairs: DataFrame | None = None) -> DataFrame:
-    """Approximate distances over codes, then exact scores for each query's best candidates."""
-    best = shortlist(adc_scores(distance_tables(queries, codebook), encoded, pairs), k)
+def two_phase(queries: DataFrame, rows: DataFrame, codebook: DataFrame, encoded: DataFrame, k: int = 10, pairs: DataFrame | None = None, fixed: int | None = None) -> DataFrame:
+    """Approximate distances over codes, then exact scores for each query's best candidates (a fixed number of them, or as shortlist takes them)."""
+    best = shortlist(adc_scores(distance_tables(queries, codebook), encoded, pairs), k, fixed)
     return top_k(rescore(best, queries, rows), k)
