@@ -167,8 +167,7 @@ def score_documents(docs: DataFrame, held_out, max_filter_mb: int = 128, mb_each
         size = size_of(int(q.sum()))
         return Filter(np.array([size]), int(q.max(initial=0)), MIN_COUNT, fill(keys & LOW40, q, size) if size else b"").levels(keys & LOW40)
 
-    asked = own.groupBy("g").applyInArrow(trimmed(ask), SAID)
-    answers = checkpointed(exchange(asked, groups, answer, True, fan))
+    answers = checkpointed(exchange(own.groupBy("g").applyInArrow(trimmed(ask), SAID), groups, answer, True, fan), release=True)
 
     def add(t: pa.Table) -> pa.Table:
         return table([(0, 0, -1, 0, np.sum([np.frombuffer(x, np.int64) for x in t["back"].to_pylist()], axis=0).tobytes())], BACK)
