@@ -100,3 +100,13 @@ def test_no_row_for_each_pair_of_query_and_vector(spark):
     found = ivf.search(q, rows, q.select("query_id", F.lit(1).alias("cluster_id")))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in plan and "MapInArrow" in plan and found.count() == 50 * 10
+
+
+def test_a_database_scores_no_pairs_in_its_plan(spark, tmp_path):
+    """Stored rows meet all queries after they are decrypted, not as a row for each pair with an expression for its score."""
+    rows = generate(spark, 40, 4).select(F.col("idx").alias("vec_id"), "embedding", F.lit('{"a": 1}').alias("metadata"))
+    db = VectorDB(spark, str(tmp_path), Config(4, clusters=2, top_clusters=2))
+    db.add(rows)
+    db.build()
+    found = db.search_where(rows.select(F.col("vec_id").alias("query_id"), "embedding"), {"a": 1}, 3, before=True)
+    assert "lambdafunction" not in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == 40 * 3
